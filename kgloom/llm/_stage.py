@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: fewer of them in one Arrow batch."""
+_shipped: set[str] = set()
+
+
+def for_python(spark: SparkSession) -> None:
+    """Gives Python workers this package, and small Arrow batches since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        made = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(made, "w") as out:
+            for p in sorted(root.rglob("*.py")):
+                out.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(made))
+        _shipped.add(spark.sparkContext.applicationId)
 
 
 def words_of(text):

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing
+from . import jaccard, lines, mixing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": lines.OP3_SQL, "op5_mixing": mixing.OP5_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": lines.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op10_substring_dedup": substrings.OP10_SQL}
