@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, mixing, substrings
+from . import jaccard, lines, mixing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op9_quality": quality.op9_quality,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
