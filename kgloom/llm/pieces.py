@@ -68,6 +68,11 @@ class Vocabulary:
         keys = np.array([_key(np.array([ord(c) for c in self.text[i]])) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int32)[order]
+        # where the keys of each leading 17 bits begin: a probe looks at a few neighbours only
+        self.begin = np.searchsorted(self.keys, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
+        self.reach = int(np.bincount((self.keys >> np.uint64(47)).astype(np.int64)).max())
+        self.keys = np.append(self.keys, np.zeros(self.reach, np.uint64))
+        self.ids = np.append(self.ids, np.zeros(self.reach, np.int32))
         known = {self.text[i]: i for i in normal}
         if any(c not in known for i in normal for c in self.text[i]):
             raise ValueError("a piece holds a character that is no piece")
@@ -96,6 +101,15 @@ class Vocabulary:
                 if len(self.text[i]) > 1:
                     self.left[i], self.right[i] = self._halves(i)
 
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, piece ids) of the hashes that are a piece's."""
+        at = self.begin[(h >> np.uint64(47)).astype(np.int64)]
+        where = np.full(len(h), -1)
+        for step in range(self.reach):
+            where = np.where(self.keys[at + step] == h, at + step, where)
+        rows = np.flatnonzero(where >= 0)
+        return rows, self.ids[where[rows]]
+
     def _bytes(self, i: int) -> bytes:
         t = self.text[i]
         if t.startswith("<0x") and self.byte[int(t[3:-1], 16)] == i:
@@ -183,6 +197,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.pair, self.pair_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -191,6 +206,20 @@ class Encoder:
         self.pool = np.empty(0, np.int32)
 
     def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_kept_apart(), with the answers of earlier calls in a table where a later pair may take an earlier one's place."""
+        key = ((a.astype(np.int64) + 3) << 32) | b
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        new = np.flatnonzero(self.pair[slot] != key)
+        if len(new):
+            ok[new] = self._kept_apart(a[new], b[new])
+            self.pair[slot[new]] = key[new]
+            # where two new pairs share a place, the answer kept is that of the pair kept
+            own = new[self.pair[slot[new]] == key[new]]
+            self.pair_ok[slot[own]] = ok[own]
+        return ok
+
+    def _kept_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging keeps a border between pieces a and b: undo the later merge of the two until neither is merged;
         a merge across the border that would have come before the last one undone joins them."""
         v = self.v
@@ -227,10 +256,9 @@ class Encoder:
         for i in range(1, length + 1):
             for k in range(1, min(i, v.longest) + 1):
                 h = mix((run[i] - run[i - k]) * back[i - k] + np.uint64(k))
-                where = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-                rows = np.flatnonzero(v.keys[where] == h)
-                rows = rows[best[i - k][rows] > -np.inf]
-                piece = v.ids[where[rows]]
+                rows, piece = v.probe(h)
+                live = best[i - k][rows] > -np.inf
+                rows, piece = rows[live], piece[live]
                 if v.additive:
                     value = best[i - k][rows] + v.score[piece]
                 else:
@@ -245,7 +273,7 @@ class Encoder:
             rows = np.flatnonzero((best[i] == -np.inf) & (best[i - 1] > -np.inf))
             if len(rows):
                 single = mix(codes[rows, i - 1].astype(np.uint64) + np.uint64(1))
-                rows = rows[v.keys[np.minimum(np.searchsorted(v.keys, single), len(v.keys) - 1)] != single]
+                rows = np.delete(rows, v.probe(single)[0])
                 floor = v.score.min() - 10 if v.additive else 0
                 best[i][rows], last[i][rows], step[i][rows] = best[i - 1][rows] + floor, _UNKNOWN, 1
         # the pieces from the end backwards
@@ -282,8 +310,9 @@ class Encoder:
                 some = rows[a : a + 20_000]
                 codes = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
                 flat, count = self._advance(codes)
-                for i, own in zip(some, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-                    ids[i] = own
+                ends = np.cumsum(count).tolist()
+                for i, x, y in zip(some.tolist(), [0, *ends[:-1]], ends, strict=True):
+                    ids[i] = flat[x:y]
         for i in np.flatnonzero(slow):
             ids[i] = np.array(self.v.merged(words[i]), np.int32)
         return (np.concatenate(ids) if ids else np.empty(0, np.int32)), np.array([len(x) for x in ids], np.int64)
@@ -355,9 +384,6 @@ class Decoder:
         return data[keep], kept[last]
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoded(vocabulary, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, mixing, quality, substrings
+from . import jaccard, lines, mixing, pieces, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
