@@ -47,7 +47,7 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     t = t.withColumn("budget", F.least(F.lit(float(share)) * F.sum("source_size").over(every), F.sum("top").over(every)))
     t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    t = t.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("top"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("top"), F.col("level"))).over(every))
     t = t.withColumn("target", F.least(F.col("top"), F.coalesce(F.col("level") * F.col("weight"), F.col("top"))))
     return t.select("source", "source_size", "n", "weight", "start", "target")
 
@@ -134,7 +134,7 @@ WITH d AS (
     coalesce(sum(top) OVER (ORDER BY top / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS stopped,
     sum(weight) OVER (ORDER BY top / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w
 ), m AS (
-  SELECT *, min(CASE WHEN (budget - stopped) / rest * weight <= top THEN (budget - stopped) / rest END) OVER () AS level FROM l
+  SELECT *, max(CASE WHEN (budget - stopped) / rest * weight <= top THEN (budget - stopped) / rest END) OVER () AS level FROM l
 ), t AS (
   SELECT source, source_size, least(top, coalesce(level * weight, top)) AS target FROM m
 ), c AS (
