@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, mixing, pieces, quality, substrings
+from . import capfilters, jaccard, lines, mixing, neighbours, pieces, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_embedding_dedup": capfilters.op8_embedding_dedup,
     "op9_quality": quality.op9_quality,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": lines.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op10_substring_dedup": substrings.OP10_SQL}
+SQL: dict[str, str] = {
+    "op8_embedding_dedup": capfilters.OP8_SQL,
+    "op3_line_dedup": lines.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op10_substring_dedup": substrings.OP10_SQL}
