@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilters, jaccard, lines, mixing, neighbours, pieces, quality, substrings
+from . import capfilters, html_text, jaccard, languages, lines, mixing, neighbours, pieces, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_mixing": mixing.op5_mixing,
+    "op6_language_id": languages.op6_language_id,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_embedding_dedup": capfilters.op8_embedding_dedup,
     "op9_quality": quality.op9_quality,
