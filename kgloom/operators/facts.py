@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import iri
 from ..functions.scores import npmi, veracity
+from .lineage import cut
 
 MAX_LENGTH, THRESHOLD = 3, 0.5
 
@@ -58,7 +59,8 @@ def discover_paths(triples: DataFrame, ends: DataFrame, max_length: int = MAX_LE
         last = last.select("s", "o", F.array_append("path", F.col("via")).alias("path"))
         found = last if found is None else found.unionByName(last)
         if length < max_length:
-            frontier = frontier.join(edges, F.col("v") == F.col("a")).select("s", "o", F.col("b").alias("v"), F.array_append("path", F.col("via")).alias("path")).distinct()
+            frontier = frontier.join(edges, F.col("v") == F.col("a")).select("s", "o", F.col("b").alias("v"), F.array_append("path", F.col("via")).alias("path"))
+            frontier = cut(frontier.distinct())
     return found.distinct()
 
 
@@ -70,14 +72,14 @@ def walk_counts(triples: DataFrame, paths: DataFrame, max_length: int = MAX_LENG
     wanted = paths.select(*keys).distinct()
     walks = wanted.withColumn("via", F.get("path", F.lit(0))).join(edges, "via")
     walks = walks.join(kinds.select(F.col("node").alias("a"), F.col("class").alias("domain")), ["a", "domain"], "left_semi")
-    walks = walks.groupBy(*keys, F.col("a").alias("s"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    walks = cut(walks.groupBy(*keys, F.col("a").alias("s"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("w")))
     done = None
     for length in range(1, max_length + 1):
         full = walks.filter(F.size("path") == length)
         done = full if done is None else done.unionByName(full)
         if length < max_length:
             more = walks.filter(F.size("path") > length).withColumn("via", F.get("path", F.lit(length))).withColumnRenamed("v", "a")
-            walks = more.join(edges, ["via", "a"]).groupBy(*keys, "s", F.col("b").alias("v")).agg(F.sum("w").alias("w"))
+            walks = cut(more.join(edges, ["via", "a"]).groupBy(*keys, "s", F.col("b").alias("v")).agg(F.sum("w").alias("w")))
     done = done.join(kinds.select(F.col("node").alias("v"), F.col("class").alias("range")), ["v", "range"], "left_semi")
     joined = edges.select(F.col("a").alias("s"), F.col("via").alias("p"), F.col("b").alias("v"), F.lit(1).alias("hit"))
     sums = done.join(joined, ["s", "p", "v"], "left").groupBy(*keys).agg(F.sum("w").alias("c_path"), F.sum(F.when(F.col("hit") == 1, F.col("w"))).alias("c_both"))
@@ -92,10 +94,8 @@ def scored(triples: DataFrame, facts: DataFrame, max_length: int = MAX_LENGTH, c
     n = instance_counts(triples)
     counts = used.join(typed_predicate_counts(triples, used).withColumnRenamed("n", "c_p"), "p")
     counts = counts.join(n.select(F.col("class").alias("domain"), F.col("n").alias("c_domain")), "domain").join(n.select(F.col("class").alias("range"), F.col("n").alias("c_range")), "range")
-    counts = counts.filter("c_p > 0")
-    asked = facts.select("s", "p", "o").distinct().join(counts, "p")
-    paths = discover_paths(triples, asked, max_length)
-    asked = asked.join(paths, ["s", "o"])
+    asked = cut(facts.select("s", "p", "o").distinct().join(counts.filter("c_p > 0"), "p"))
+    asked = cut(asked.join(discover_paths(triples, asked, max_length), ["s", "o"]))
     walks = walk_counts(triples, asked, max_length)
     value = npmi(F.col("c_path"), F.col("c_both"), F.col("c_p"), F.col("c_domain"), F.col("c_range"))
     rows = asked.join(walks, ["path", "p", "domain", "range"]).filter("c_both > 0").withColumn("npmi", value)

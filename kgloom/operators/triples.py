@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import iri
+from .lineage import cut
 
 TRIPLE = ("s", "p", "o")
 
@@ -101,17 +102,11 @@ def bnode_closure(triples: DataFrame, rounds: int = 64) -> DataFrame:
 
 def closure(frontier: DataFrame, steps: DataFrame, rounds: int = 64) -> DataFrame:
     """(root, child, node) closed under steps (node, next)."""
-    spark = frontier.sparkSession
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not checkpoint:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgloom-"))
-    frontier = seen = frontier.distinct().checkpoint()
+    frontier = seen = cut(frontier.distinct())
     for _ in range(rounds):
         reached = frontier.join(steps, "node").select("root", "child", F.col("next").alias("node")).distinct()
-        frontier = reached.join(seen, ["root", "child", "node"], "left_anti").checkpoint()
+        frontier = cut(reached.join(seen, ["root", "child", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = cut(seen.unionByName(frontier))
     raise RuntimeError(f"blank nodes reach further than {rounds} steps")

@@ -14,6 +14,7 @@ from ..functions import iri, text
 from ..functions.scores import npmi
 from ..functions.vectors import cosine, mean_by, parsed
 from ..operators import align, encoders, facts, linkcheck, linking, lookup, triples
+from ..operators.lineage import cut
 from ..sources import lines, rdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,7 +464,7 @@ def discover_paths(spark, d):
 @query(f"WITH {_KG}, {_FACTS}, {_PATHS}, {_WALKS} SELECT array_to_string(path, '>') AS path, p, c_path, c_both FROM wf")
 def path_counts(spark, d):
     g, f = _kg(spark, d), _facts(spark, d)
-    asked = f.join(facts.domain_range(g).filter("domain is not null and range is not null"), "p").join(facts.discover_paths(g, f), ["s", "o"])
+    asked = cut(f.join(facts.domain_range(g).filter("domain is not null and range is not null"), "p").join(facts.discover_paths(g, f), ["s", "o"]))
     return facts.walk_counts(g, asked).select(F.array_join("path", ">").alias("path"), "p", "c_path", "c_both")
 
 
