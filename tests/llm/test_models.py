@@ -79,6 +79,12 @@ def test_languages(spark, made_rows):
     assert languages.trained(docs.limit(0)) is None
 
 
+def test_most_frequent(spark):
+    counts = spark.createDataFrame([(g, n) for g, n in enumerate([1] * 50 + [5] * 9 + [100, 101, 3000])], "gram long, n long")
+    assert languages.most_frequent(counts, 1000).count() == 62 and languages.most_frequent(counts, 20).count() == 12
+    assert languages.most_frequent(counts, 2).count() == 1 and languages.most_frequent(counts.limit(0), 5).count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     text = "abab abba baab"
     data = np.frombuffer(text.encode(), np.uint8)
