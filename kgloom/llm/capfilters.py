@@ -2,15 +2,17 @@
 
 A filter is a direction made of one unit code vector per block of dimensions, so with m blocks
 and k code vectors each there are k**m directions without storing them.  A vector passes the
-filters whose directions it exceeds its cap height with, the height that LISTED directions
+filters whose directions it exceeds its cap height with, the height that `listed` directions
 reach: block norms differ between vectors, and one height for all would leave some without any.
 List decoding finds them from the sorted block scores: the sum of the i-th and the j-th best can
-only be among the LISTED best if i * j <= LISTED.  Vectors that share a filter are compared, and
+only be among the `listed` best if i * j <= listed.  Vectors that share a filter are compared, and
 pairs with cosine of at least the threshold, in double precision on the original vectors, are links.
 
-k**m is at least 16 times the number of vectors, so the chance pairs stay in proportion to the
-table.  Measured on 64 dimensions, a pair at cosine 0.90 shares a filter with a probability of
-0.99, one at 0.95 of 0.999.
+k**m is at least 16 times the number of distinct vectors, and more directions make it less likely
+that a pair shares one of its best.  So `listed` is not fixed: it starts at LISTED and grows until, of
+TRIED random pairs exactly at the threshold, at most MISSED share no filter (`needed`), whatever the
+number of vectors; pairs above the threshold share one more often.  Chance pairs are about
+listed**2 / 16 a vector.
 
 Equal vectors are one class.  A filter's vectors are compared in square blocks of BLOCK by
 BLOCK dealt by hash, so a filter that a third of all vectors pass is many groups; the small
@@ -34,6 +36,7 @@ from ._components import components
 from ._stage import for_python, table, written
 
 THRESHOLD, LISTED, BLOCK, MOST_CODES, SEED = 0.9, 32, 256, 2048, 11
+MISSED, TRIED, GROWTH = 0.01, 8000, 1.25
 
 
 def usable(vector: Column) -> Column:
@@ -77,6 +80,28 @@ class Codes:
         return np.sort(at, axis=1)
 
 
+def missed(codes: Codes, dim: int, threshold: float, tried: int = TRIED, seed: int = SEED + 1) -> float:
+    """The share of random pairs of cosine exactly `threshold` that share no filter."""
+    rng, lost = np.random.default_rng(seed), 0
+    for at in range(0, tried, 250):
+        n = min(250, tried - at)
+        x, y = rng.normal(size=(2, n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        both = np.sort(np.hstack((codes.decode(x), codes.decode(threshold * x + np.sqrt(1 - threshold**2) * y))), axis=1)
+        lost += n - int((both[:, 1:] == both[:, :-1]).any(axis=1).sum())
+    return lost / tried
+
+
+def needed(dim: int, n: int, threshold: float = THRESHOLD) -> Codes:
+    """Codes for n vectors whose lists are long enough for the threshold."""
+    codes = Codes(dim, n)
+    while dim > 1 and abs(threshold) < 1 and codes.listed < codes.k**codes.m and missed(codes, dim, threshold) > MISSED:
+        codes = Codes(dim, n, int(np.ceil(codes.listed * GROWTH)))
+    return codes
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -163,12 +188,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for_python(spark)
     rows = vectors.select("vec_id", F.col("embedding").alias("vector")).withColumn("fine", usable(F.col("vector")))
     most = rows.filter("fine").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, n = (most["dim"], most["count"]) if most else (1, 0)
+    dim = most["dim"] if most else 1
     key = F.when(F.col("fine") & (F.size("vector") == dim), F.sha2(F.array_join(F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), " "), 256))
     rows = written(rows.select("vec_id", "vector", key.alias("key")), "cap-vectors")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("members"), F.any_value("vector").alias("vector"))
     classes = written(classes, "cap-classes")
-    codes = Codes(dim, n)
+    codes = needed(dim, classes.count(), threshold)  # copies need no directions of their own
     found = written(links(classes, codes, threshold), "cap-links")
     size = classes.select(F.col("id"), "members")
     ends = found.select(F.col("a").alias("at"), F.col("b").alias("id")).union(found.select("b", "a"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import languages
+from kgloom.llm import capfilters, languages
 from test_models import DOCS, made
 
 
@@ -19,3 +19,17 @@ def test_languages_keep_every_gram(spark):
     want, got = ({r.doc_id: r for r in languages.identified(asked, m).collect()} for m in (whole, tables))
     assert len(got) == len(want) == 156 and got[5000].lang_pred == "cy" and got[9001].lang_pred == "und"
     assert all(got[i].lang_pred == r.lang_pred and got[i].rejected == r.rejected and np.isclose(got[i].score, r.score, atol=1e-4) for i, r in want.items())
+
+
+@pytest.mark.parametrize("n", [10_000, 300_000, 5_000_000])
+def test_cap_filters_miss_no_more_in_large_tables(n):
+    assert capfilters.missed(capfilters.needed(64, n), 64, 0.9, 3000, 5) < 0.015
+
+
+def test_cap_filters_count_distinct_vectors(spark, monkeypatch):
+    asked, needed = [], capfilters.needed
+    monkeypatch.setattr(capfilters, "needed", lambda dim, n, threshold: asked.append((dim, n, threshold)) or needed(dim, n, threshold))
+    x = np.random.default_rng(3).normal(size=(20, 8)).astype(np.float32)
+    rows = [(i, x[min(i, 19)].tolist()) for i in range(400)]
+    out = capfilters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95).collect()
+    assert asked == [(8, 20, 0.95)] and {r.n_links for r in out if r.vec_id >= 19} == {380}
