@@ -196,8 +196,8 @@ def _candidates(t: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["class", "family", "tokens"])
+        sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
 
 
 class _Block:
@@ -297,8 +297,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, families: DataFrame) -> DataFrame:
     """families (class, family, first) -> verified links (a, b) with the classes' true components."""
-    chosen = docs.join(families.withColumnRenamed("first", "id"), "id").select("class", "family", "text")
-    sets = written(chosen.mapInArrow(_sets, "class long, family long, tokens binary").dropDuplicates(["class"]), "ngram-sets")
+    # rows of one id (all null ones have one) may hold different texts, so a text's class is taken from its own set
+    chosen = docs.join(families.select(F.col("first").alias("id")), "id", "left_semi").select("text")
+    sets = chosen.mapInArrow(_sets, "class long, tokens binary").dropDuplicates(["class"])
+    sets = written(sets.join(families.select("class", "family"), "class").select("class", "family", "tokens"), "ngram-sets")
     sizes = written(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "ngram-families")
     blocks = F.ceil(F.col("m") / BLOCK)
     sized = sets.join(sizes, "family")

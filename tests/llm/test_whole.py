@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import capfilters, languages
+from kgloom.llm import capfilters, jaccard, languages
 from test_models import DOCS, made
 
 
@@ -33,3 +33,11 @@ def test_cap_filters_count_distinct_vectors(spark, monkeypatch):
     rows = [(i, x[min(i, 19)].tolist()) for i in range(400)]
     out = capfilters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95).collect()
     assert asked == [(8, 20, 0.95)] and {r.n_links for r in out if r.vec_id >= 19} == {380}
+
+
+@pytest.mark.parametrize("shared", [None, -5])
+def test_jaccard_rows_of_one_id_keep_their_own_texts(spark, shared):
+    base = [[f"{k}w{i}" for i in range(60)] for k in range(12)]
+    rows = [(shared, " ".join(w)) for w in base] + [(100 + k, " ".join([*w[:-1], "other"])) for k, w in enumerate(base)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + k] == shared for k in range(12))
