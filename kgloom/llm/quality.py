@@ -5,8 +5,8 @@ encoded by the bytes and words it holds; a hidden layer h = tanh(V x) and gated
 a = softmax(w . (tanh(A h) * sigmoid(B h))) make one weighted representation of the bag, which a
 logistic output scores.  All weights are learned together, by Adam on the document labels only;
 no passage has a label.  The model is fitted on the driver from at most `most` labelled documents
-(those with the smallest hashes of doc_id, so the sample is the same in every run), of which the first MOST_PASSAGES evenly
-spread passages train; scoring reads every passage of every text.
+(those with the smallest hashes of doc_id, so the sample is the same in every run); training and scoring read every passage
+of a text.
 
 Defined cases: a null text is an empty one; an empty text is a bag of one empty passage and gets
 the score that makes; where no labelled document exists every score is 0.5; labels that conflict
@@ -26,7 +26,7 @@ from ._stage import for_python, held_out, table
 from ._text import Words, bytes_of, pieces
 
 PASSAGE, PIECE = 64, 1 << 21
-MOST, MOST_PASSAGES, HIDDEN, GATE, EPOCHS, BATCH, SEED = 4000, 24, 24, 12, 60, 64, 7
+MOST, HIDDEN, GATE, EPOCHS, BATCH, SEED = 4000, 24, 12, 60, 64, 7
 THRESHOLD = 0.3
 _KINDS = 12
 
@@ -125,8 +125,9 @@ class Attention:
         return y, (z, h, a, b, p, m, rows)
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Attention:
-        every = np.concatenate(bags)
-        self.w["mean"], self.w["scale"] = every.mean(0), every.std(0) + 1e-3
+        n = sum(map(len, bags))
+        self.w["mean"] = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+        self.w["scale"] = np.sqrt(sum(((b - self.w["mean"]) ** 2).sum(0) for b in bags) / n) + 1e-3
         self.w["c"][:] = np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))
         rng, learned = np.random.default_rng(seed), ["V", "v", "A", "B", "g", "o", "c"]
         first = {k: np.zeros_like(self.w[k]) for k in learned}
@@ -136,7 +137,7 @@ class Attention:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BATCH):
                 picked = order[at : at + BATCH]
-                x = np.concatenate([bags[i] for i in picked])
+                x = np.concatenate([bags[i] for i in picked]).astype(np.float64)
                 bag = np.concatenate(([0], np.cumsum([len(bags[i]) for i in picked])))
                 grads = self._gradients(x, bag, labels[picked])
                 step += 1
@@ -175,17 +176,14 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Attention |
     labels = np.array([r.label for r in found])
     if not len(labels) or labels.min() == labels.max():
         return None
-    return Attention(WIDTH).fit([np.frombuffer(r.x, np.float32).reshape(-1, r.width).astype(np.float64) for r in found], labels)
+    return Attention(WIDTH).fit([np.frombuffer(r.x, np.float32).reshape(-1, r.width) for r in found], labels)
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         for x, bag in encode(batch.column(1)):
-            kept = []
-            for i in range(len(bag) - 1):
-                own = x[bag[i] : bag[i + 1]]
-                kept.append(own[np.linspace(0, len(own) - 1, min(len(own), MOST_PASSAGES)).astype(int)].tobytes())
+            kept = [x[a:z].tobytes() for a, z in zip(bag[:-1], bag[1:], strict=True)]
             n = len(kept)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[at : at + n], batch.column(2)[at : at + n], pa.array([WIDTH] * n, pa.int32()), pa.array(kept, pa.binary())],

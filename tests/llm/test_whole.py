@@ -1,10 +1,11 @@
 """Whatever the size of the input, no part of it is left out."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import capfilters, jaccard, languages
+from kgloom.llm import capfilters, jaccard, languages, quality
 from test_models import DOCS, made
 
 
@@ -41,3 +42,12 @@ def test_jaccard_rows_of_one_id_keep_their_own_texts(spark, shared):
     rows = [(shared, " ".join(w)) for w in base] + [(100 + k, " ".join([*w[:-1], "other"])) for k, w in enumerate(base)]
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[100 + k] == shared for k in range(12))
+
+
+def test_quality_trains_on_every_passage():
+    text = " ".join(f"w{i}" for i in range(40 * quality.PASSAGE))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "short"]), pa.array([1.0, 0.0])], ["key", "text", "quality"])
+    (got,) = quality._training(iter([batch]))
+    x = [np.frombuffer(b.as_py(), np.float32).reshape(-1, quality.WIDTH) for b in got.column("x")]
+    ((want, bag),) = quality.encode(batch.column(1))
+    assert [len(b) for b in x] == [40, 1] and np.array_equal(x[0], want[: bag[1]])
