@@ -14,17 +14,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of Arrow data in one batch handed to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of Arrow data in one batch handed to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (tests on one machine), a temporary one."""
+    """The session's checkpoint folder, by its setting or the context's; where neither is set (tests on one machine), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-        found = f"file://{found}"
+        set_by_hand = spark._jsc.sc().getCheckpointDir()
+        found = set_by_hand.get() if set_by_hand.isDefined() else f"file://{tempfile.mkdtemp(prefix='kgloom-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -35,13 +35,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def removed(spark: SparkSession, *dfs: DataFrame) -> None:
+    """Deletes the files of tables made by written() that nothing reads any more."""
+    for name in {f.rpartition("/")[0] for df in dfs for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def passing(df: DataFrame, *made: str) -> list[str]:
+    """The columns that an operator hands on: an input column named like one that it makes is replaced."""
+    return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
+
+
+def schema_of(df: DataFrame, names: list[str], more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names), more])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,8 +59,9 @@ _shipped: set[str] = set()
 
 
 def for_python(spark: SparkSession) -> None:
-    """Gives Python workers this package, and small Arrow batches since texts may be long."""
+    """Gives Python workers this package, and bounds the session's Arrow batches by rows and bytes since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         made = Path(tempfile.mkdtemp()) / f"{root.name}.zip"

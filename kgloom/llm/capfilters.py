@@ -1,128 +1,170 @@
 """Embedding near-dedup with spherical-cap filters (structured random product codes).
 
-A filter is a direction made of one unit code vector per block of dimensions, so with m blocks
-and k code vectors each there are k**m directions without storing them.  A vector passes the
-filters whose directions it exceeds its cap height with, the height that `listed` directions
-reach: block norms differ between vectors, and one height for all would leave some without any.
-List decoding finds them from the sorted block scores: the sum of the i-th and the j-th best can
-only be among the `listed` best if i * j <= listed.  Vectors that share a filter are compared, and
-pairs with cosine of at least the threshold, in double precision on the original vectors, are links.
-
-k**m is at least 16 times the number of distinct vectors, and more directions make it less likely
-that a pair shares one of its best.  So `listed` is not fixed: it starts at LISTED and grows until, of
-TRIED random pairs exactly at the threshold, at most MISSED share no filter (`needed`), whatever the
-number of vectors; pairs above the threshold share one more often.  Chance pairs are about
-listed**2 / 16 a vector.
+Vectors are turned by a fixed random rotation, so that no direction is special.  A filter is a
+direction made of one unit code vector per block of dimensions: with m blocks and k code vectors each there are
+k**m directions without storing them.  A vector passes every filter whose direction it exceeds the cap height
+with; one height holds for all vectors and no list is cut.  List decoding goes block by block: a
+partial sum is kept while the best scores of the blocks to come can still lift it over the height.
+
+The height follows from the threshold, the dimension and the number of directions (16 for each distinct
+vector): it is the one at which, of TRIED random pairs exactly at the threshold, MISSED share no
+filter (`needed`), whatever the number of vectors.  Pairs above the threshold share one more often.
 
 Equal vectors are one class.  A filter's vectors are compared in square blocks of BLOCK by
 BLOCK dealt by hash, so a filter that a third of all vectors pass is many groups; the small
-filters share slices.  A pair is reported by the first filter that both pass, so it is counted once.
+filters share slices.  A pair counts at the first filter that both pass, so it is counted once, and pairs never leave
+their block: it gives the number of links of each vector and a forest of its components.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing; rows that share a vec_id are rows of their own; an
+non-finite components link with nothing; rows that share a vec_id are rows of their own; a row without a vec_id
+takes part, its component's id being the smallest one there is (null without any), and it is kept only if there is none; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._stage import for_python, table, written
-
-THRESHOLD, LISTED, BLOCK, MOST_CODES, SEED = 0.9, 32, 256, 2048, 11
-MISSED, TRIED, GROWTH = 0.01, 8000, 1.25
-
+from ._stage import for_python, removed, table, written
+from ._vectors import matrix, unit, usable, vector_key
 
-def usable(vector: Column) -> Column:
-    """Not null, not zero, every component a finite number."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+THRESHOLD, BLOCK, MOST_CODES, SEED = 0.9, 256, 16_384, 11
+MISSED, TRIED, FIRST, MORE = 0.004, 6000, 256, 3
+#: Rows of decoded scores held at once.
+ROWS = 250
 
 
 class Codes:
-    """k unit code vectors for each of m blocks of dimensions."""
+    """k unit code vectors for each of m blocks of rotated dimensions, and the cap height."""
 
-    def __init__(self, dim: int, n: int, listed: int = LISTED, seed: int = SEED):
+    def __init__(self, dim: int, n: int, seed: int = SEED):
         self.m = next((m for m in (2, 3, 4) if (16 * n) ** (1 / m) <= MOST_CODES), 5)
         self.m = max(1, min(self.m, dim // 2))
         self.k = max(16, int(np.ceil((16 * max(n, 1)) ** (1 / self.m)))) if self.m > 1 else MOST_CODES
-        self.listed = listed
+        self.height = -np.inf
         rng = np.random.default_rng(seed)
+        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0].astype(np.float32)
         self.cuts = np.linspace(0, dim, self.m + 1).astype(int)
         self.codes = []
         for a, z in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = rng.normal(size=(self.k, z - a))
             self.codes.append((c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float32))
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The filters of each row of x, in rising order."""
-        x, total, at = x.astype(np.float32), None, None
-        for c, a, z in zip(self.codes, self.cuts[:-1], self.cuts[1:], strict=True):
-            score = x[:, a:z] @ c.T
-            k = min(self.listed, self.k)
-            best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(score, best, 1)
-            order = np.argsort(-value, axis=1)
-            best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
-            if total is None:
-                total, at = value, best.astype(np.int64)
-                continue
-            i, j = np.nonzero((np.arange(total.shape[1])[:, None] + 1) * (np.arange(k) + 1) <= self.listed)
-            sums, joined = total[:, i] + value[:, j], at[:, i] * self.k + best[:, j]
-            order = np.argsort(-sums, axis=1, kind="stable")[:, : self.listed]
-            total, at = np.take_along_axis(sums, order, 1), np.take_along_axis(joined, order, 1)
-        return np.sort(at, axis=1)
-
-
-def missed(codes: Codes, dim: int, threshold: float, tried: int = TRIED, seed: int = SEED + 1) -> float:
-    """The share of random pairs of cosine exactly `threshold` that share no filter."""
-    rng, lost = np.random.default_rng(seed), 0
-    for at in range(0, tried, 250):
-        n = min(250, tried - at)
-        x, y = rng.normal(size=(2, n, dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y -= (x * y).sum(1, keepdims=True) * x
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        both = np.sort(np.hstack((codes.decode(x), codes.decode(threshold * x + np.sqrt(1 - threshold**2) * y))), axis=1)
-        lost += n - int((both[:, 1:] == both[:, :-1]).any(axis=1).sum())
-    return lost / tried
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, filter, score) of all filters that unit rows exceed the height with, by row and filter."""
+        found = [self._decode(x[a : a + ROWS], a) for a in range(0, len(x), ROWS)] or [self._decode(x, 0)]
+        row, own, score = (np.concatenate(f) for f in zip(*found, strict=True))
+        return row, own, score
+
+    def _decode(self, x: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = x.astype(np.float32) @ self.rotation
+        scores = [x[:, a:z] @ c.T for c, a, z in zip(self.codes, self.cuts[:-1], self.cuts[1:], strict=True)]
+        top = np.array([s.max(1, initial=-np.inf) for s in scores])
+        row, total, own = np.arange(len(x)), np.zeros(len(x), np.float32), np.zeros(len(x), np.int64)
+        for at, s in enumerate(scores):
+            rest = top[at + 1 :].sum(0)
+            # the codes of the row that can be part of a filter above the height at all
+            who, code = np.nonzero(s >= (self.height - rest - top[:at].sum(0) - 1e-6)[:, None])
+            many = np.bincount(who, minlength=len(x))
+            begin, own_many = (np.cumsum(many) - many)[row], many[row]
+            of = np.repeat(np.arange(len(row)), own_many)
+            place = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(own_many) - own_many, own_many)
+            sums = total[of] + s[who[place], code[place]]
+            keep = sums + rest[row[of]] >= self.height
+            of, place = of[keep], place[keep]
+            row, total, own = row[of], sums[keep], own[of] * self.k + code[place]
+        order = np.lexsort((own, row))
+        return row[order] + first, own[order], total[order]
+
+
+def _pairs(dim: int, n: int, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors of cosine exactly `threshold`."""
+    x, y = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, threshold * x + np.sqrt(1 - threshold**2) * y
+
+
+def shared_heights(codes: Codes, dim: int, threshold: float, tried: int = TRIED, seed: int = SEED + 1) -> np.ndarray:
+    """For random pairs at the threshold the largest height at which they share a filter; -inf if they share none at the codes' height."""
+    rng, out = np.random.default_rng(seed), []
+    for at in range(0, tried, ROWS):
+        n = min(ROWS, tried - at)
+        (a, f, s), (b, g, t) = (codes.decode(x) for x in _pairs(dim, n, threshold, rng))
+        _, i, j = np.intersect1d(a * codes.k**codes.m + f, b * codes.k**codes.m + g, assume_unique=True, return_indices=True)
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, a[i], np.minimum(s[i], t[j]))
+        out.append(best)
+    return np.concatenate(out)
+
+
+def missed(codes: Codes, dim: int, threshold: float, tried: int = TRIED, seed: int = SEED + 3) -> float:
+    """The share of random pairs at the threshold that share no filter."""
+    return float((shared_heights(codes, dim, threshold, tried, seed) == -np.inf).mean())
 
 
 def needed(dim: int, n: int, threshold: float = THRESHOLD) -> Codes:
-    """Codes for n vectors whose lists are long enough for the threshold."""
-    codes = Codes(dim, n)
-    while dim > 1 and abs(threshold) < 1 and codes.listed < codes.k**codes.m and missed(codes, dim, threshold) > MISSED:
-        codes = Codes(dim, n, int(np.ceil(codes.listed * GROWTH)))
+    """Codes for n vectors with the height that the threshold asks for."""
+    codes, listed = Codes(dim, n), float(FIRST)
+    if dim < 2 or codes.m < 2 or not 0 < threshold < 1:
+        return codes  # every vector passes every filter
+    while listed < codes.k**codes.m / 4:
+        codes.height = _height(codes, listed)
+        if missed(codes, dim, threshold, TRIED // 10) <= MISSED:
+            codes.height = float(np.quantile(shared_heights(codes, dim, threshold), MISSED, method="lower")) - 1e-6
+            return codes
+        listed *= MORE
+    codes.height = -np.inf
     return codes
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+def _height(codes: Codes, listed: float) -> float:
+    """A height that about `listed` directions exceed, if their scores were normal."""
+    low, high = 0.0, 2.0
+    while high - low > 1e-4:
+        mid = (low + high) / 2
+        low, high = (mid, high) if _tail(codes, mid) > listed else (low, mid)
+    return high
+
+
+def _tail(codes: Codes, height: float) -> float:
+    """Directions expected above a height if their scores were normal."""
+    spread = sqrt(codes.m / codes.rotation.shape[0])
+    return codes.k**codes.m * erfc(height / spread / sqrt(2)) / 2
 
 
 def _listed(codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = codes.decode(_unit(_matrix(batch.column(1))))
-                ids = np.repeat(batch.column(0).to_numpy(), found.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found.ravel())], ["id", "filter"])
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for a in range(0, len(x), ROWS):
+                row, own, _ = codes.decode(unit(x[a : a + ROWS]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row]), pa.array(own)], ["id", "filter"])
 
     return run
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay finite
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the ends of a and b with the same components, one less than a component's nodes: each to its smallest."""
+    who, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(who))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(who))
+    return who[label[moved]], who[moved]
 
 
 def _compared(codes: Codes, threshold: float):
@@ -138,36 +180,44 @@ def _compared(codes: Codes, threshold: float):
             a, b = a[keep], b[keep]
         if len(a):
             who, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-            lists = codes.decode(x[who])
-            row, col = np.nonzero(lists < own)
-            earlier, at = np.unique(lists[row, col], return_inverse=True)
+            row, lists, _ = codes.decode(x[who])
+            row, lists = row[lists < own], lists[lists < own]
+            earlier, at = np.unique(lists, return_inverse=True)
             has = np.zeros((len(who), len(earlier)), np.float32)
             has[row, at] = 1
             shared = has @ has.T
             fresh = shared[place[: len(a)], place[len(a) :]] == 0
             a, b = a[fresh], b[fresh]
-        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        return a, b
 
     def run(t: pa.Table) -> pa.Table:
+        """Of a group: (a, b) edges of a forest with n null, and (a) with n, the rows linked with a."""
         ids, own, side = t.column("id").to_numpy(), t.column("filter").to_numpy(), t.column("side").to_numpy()
-        x = _unit(_matrix(t.column("vector")))
+        members = t.column("members").to_numpy()
+        x = unit(matrix(t.column("vector")))
         square = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         order = np.argsort(own, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1], [True])))
-        found = [(ids[:0], ids[:0])]
+        none = np.empty(0, np.int64)
+        found = [(none, none)]
         for p, q in zip(cut[:-1], cut[1:], strict=True):
             if q - p > 1:
                 rows = order[p:q]
                 sides = (rows, None) if square else (rows[side[rows] == 0], rows[side[rows] == 1])
                 found.append(bucket(int(own[rows[0]]), ids, x, *sides))
         a, b = (np.concatenate(f) for f in zip(*found, strict=True))
-        return pa.table({"a": a, "b": b})
+        who, place = np.unique(np.concatenate((ids[a], ids[b])), return_inverse=True)
+        near = np.zeros(len(who), np.int64)
+        np.add.at(near, place, np.concatenate((members[b], members[a])))
+        low, high = _forest(ids[a], ids[b]) if len(a) else (none, none)
+        n = pa.array(np.concatenate((np.zeros(len(low), np.int64), near)), mask=np.arange(len(low) + len(who)) < len(low))
+        return pa.table({"a": np.concatenate((low, who)), "b": np.concatenate((high, who)), "n": n})
 
     return run
 
 
 def links(classes: DataFrame, codes: Codes, threshold: float = THRESHOLD) -> DataFrame:
-    """classes (id, vector) -> pairs (a, b), a < b, of cosine >= threshold that share a filter."""
+    """classes (id, vector, members) -> by block the edges (a, b, null) of a forest of the classes linked there, and (a, a, n): n rows are linked with a."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = written(classes.select("id", "vector").mapInArrow(_listed(codes), "id long, filter long"), "cap-lists")
     sizes = listed.groupBy("filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -178,8 +228,10 @@ def links(classes: DataFrame, codes: Codes, threshold: float = THRESHOLD) -> Dat
     # small filters share slices, a large one has groups of its own
     group = F.when(F.col("side_blocks") == 1, F.pmod(F.xxhash64("filter"), F.lit(4 * parts))).otherwise(-F.col("filter") - 1)
     both = placed.withColumn("other", others).select(group.alias("slice"), "filter", "id", low.alias("i"), high.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    full = both.join(classes.select("id", "vector"), "id")
-    return full.groupBy("slice", "i", "j").applyInArrow(_compared(codes, threshold), "a long, b long")
+    full = both.join(classes.select("id", "vector", "members"), "id")
+    out = written(full.groupBy("slice", "i", "j").applyInArrow(_compared(codes, threshold), "a long, b long, n long"), "cap-links")
+    removed(classes.sparkSession, listed, sizes)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,21 +241,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = vectors.select("vec_id", F.col("embedding").alias("vector")).withColumn("fine", usable(F.col("vector")))
     most = rows.filter("fine").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = most["dim"] if most else 1
-    key = F.when(F.col("fine") & (F.size("vector") == dim), F.sha2(F.array_join(F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), " "), 256))
+    key = F.when(F.col("fine") & (F.size("vector") == dim), vector_key(F.col("vector")))
     rows = written(rows.select("vec_id", "vector", key.alias("key")), "cap-vectors")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("members"), F.any_value("vector").alias("vector"))
-    classes = written(classes, "cap-classes")
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("members"), F.any_value("vector").alias("vector"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "cap-classes")
     codes = needed(dim, classes.count(), threshold)  # copies need no directions of their own
-    found = written(links(classes, codes, threshold), "cap-links")
-    size = classes.select(F.col("id"), "members")
-    ends = found.select(F.col("a").alias("at"), F.col("b").alias("id")).union(found.select("b", "a"))
-    near = ends.join(size, "id").groupBy("at").agg(F.sum("members").alias("near"))
-    groups = components(found).withColumnRenamed("node", "id")
-    named = classes.select("key", "id", "members").join(near.withColumnRenamed("at", "id"), "id", "left").join(groups, "id", "left")
-    named = written(named.select("key", (F.coalesce("near", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "cap-named")
-    out = rows.select("vec_id", "key").join(named, "key", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    found = links(classes, codes, threshold)
+    near = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
+    groups = components(found.filter("n is null").select("a", "b")).withColumnRenamed("node", "id")
+    named = classes.select("key", "id", "least", "members").join(near, "id", "left").join(groups, "id", "left")
+    named = written(named.select("key", "least", (F.coalesce("near", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "cap-named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = rows.select("vec_id", "key").join(named.join(ids, "component").select("key", "n_links", "component_id"), "key", "left")
+    own = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

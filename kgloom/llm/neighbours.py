@@ -3,8 +3,9 @@
 Every tree splits space by hyperplanes between two random points of the node (the midpoint
 between them is the split).  The trees are fitted on at most SAMPLE vectors, those of the smallest hashes; every vector is then
 put into its leaf of each tree.  A query goes down all trees at once: one priority queue over
-all of them holds the branches not taken, by the smallest distance to a hyperplane on the way, and the search
-goes on with the best branch of any tree until the leaves taken held SHARE of the sample's vectors in all trees.
+all of them holds the branches not taken, by the squared distances to the hyperplanes on the way, summed, and the search
+goes on with the best branch of any tree until the leaves taken hold enough distinct vectors (`budget`), as the sample tells.
+The budget grows more slowly than the table, since the nearest of more vectors lie nearer.
 Candidates of these leaves are ranked by exact distance in double precision.
 
 Equal vectors are one class that keeps its k + 1 smallest vec_ids, which is all that ties to
@@ -12,8 +13,9 @@ smaller vec_id can ask for, so a vector that a third of all rows share is one ca
 meet their queries in groups of bounded size, leaves and queries dealt into blocks by hash.
 
 Defined cases: queries and candidates that are null, zero, of another length than most or hold
-null or non-finite components take no part; a query's own row (vec_id) is no candidate; fewer than k
-candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
+null or non-finite components take no part, nor do rows without a vec_id; rows equal in vec_id and vector are one row; rows of
+one vec_id with different vectors are candidates each, and the one of the smallest hash asks; rows with the
+query's vec_id are no candidates; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import for_python, table, written
-from .capfilters import _matrix, usable
+from ._stage import for_python, removed, table, written
+from ._vectors import matrix as _matrix, usable, vector_key
 
-TREES, LEAF, SAMPLE, SHARE, NEIGHBOURS, QUERY_BLOCK, LEAF_BLOCK, SEED = 16, 48, 20_000, 0.8, 10, 256, 4096, 5
+TREES, LEAF, SAMPLE, NEIGHBOURS, QUERY_BLOCK, LEAF_BLOCK, SEED = 16, 48, 20_000, 10, 256, 4096, 5
+#: Distinct vectors that a query looks at: at least LEAST, and HALF of 10,000, growing with the power SLOWER of the table.
+LEAST, HALF, SLOWER = 4000, 5500, 0.9
+
+
+def budget(n: int) -> float:
+    """Distinct vectors of n that a query looks at."""
+    return min(n, max(LEAST, HALF * (n / 10_000) ** SLOWER))
 
 
 class Tree:
-    """Nodes as arrays: plane and offset, children (negative: leaf number - 1), and the share of the sample in each leaf."""
+    """Nodes as arrays: plane and offset, children (negative: leaf number - 1), and the rows of the sample in each leaf."""
 
     def __init__(self, x: np.ndarray, leaf: int, rng: np.random.Generator):
         self.planes, self.offsets, self.children, self.held = [], [], [], []
         self.root = self._grow(x, np.arange(len(x)), leaf, rng)
         self.planes = np.array(self.planes, np.float32).reshape(len(self.offsets), x.shape[1])
         self.offsets, self.children = np.array(self.offsets, np.float32), np.array(self.children, np.int64).reshape(-1, 2)
-        self.held = np.array(self.held, np.float64) / max(1, len(x))
 
     def _grow(self, x, rows, leaf, rng) -> int:
         if len(rows) > leaf:
@@ -60,7 +68,7 @@ class Tree:
                     self.children.append((0, 0))
                     self.children[at] = (self._grow(x, rows[left], leaf, rng), self._grow(x, rows[~left], leaf, rng))
                     return at
-        self.held.append(len(rows))
+        self.held.append(rows.astype(np.int32))
         return -len(self.held)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -77,24 +85,27 @@ class Forest:
     def __init__(self, x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = SEED):
         rng = np.random.default_rng(seed)
         x = x.astype(np.float32)
+        self.sample = len(x)
         self.trees = [Tree(x, leaf, rng) for _ in range(trees)]
 
     def search(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) to look into, best first, until they hold `share` of the sample together."""
-        margins = [t.planes @ q - t.offsets for t in self.trees]
-        queue = [(-np.inf, i, t.root) for i, t in enumerate(self.trees)]
+        """(tree, leaf) to look into, best first, until they hold `share` of the sample's vectors, each counted once."""
+        margins = [np.square(m) * np.sign(m) for m in (t.planes @ q - t.offsets for t in self.trees)]
+        queue = [(0.0, i, t.root) for i, t in enumerate(self.trees)]
         heapq.heapify(queue)
-        found, held = [], 0.0
-        while queue and held < share:
-            bound, i, node = heapq.heappop(queue)
+        found, seen, left = [], np.zeros(self.sample, bool), share * self.sample
+        while queue and (left > 0 or not found):
+            far, i, node = heapq.heappop(queue)
             t, margin = self.trees[i], margins[i]
             while node >= 0:
                 d = float(margin[node])
                 near = int(d >= 0)
-                heapq.heappush(queue, (max(bound, abs(d)), i, int(t.children[node, 1 - near])))
+                heapq.heappush(queue, (far + abs(d), i, int(t.children[node, 1 - near])))
                 node = int(t.children[node, near])
             found.append((i, -node - 1))
-            held += t.held[-node - 1]
+            held = t.held[-node - 1]
+            left -= len(held) - int(seen[held].sum())
+            seen[held] = True
         return found
 
 
@@ -120,16 +131,15 @@ def _asked(forest, share: float):
 
 
 def _ranked(k: int):
-    """The k + 1 nearest classes of a block of a leaf for each query of a block."""
+    """The k + 1 nearest classes of a block of a leaf (and those as near as the last) for each query of a block."""
 
     def run(t: pa.Table) -> pa.Table:
-        query = t.column("query_id").to_numpy(zero_copy_only=False)
-        is_query = ~np.isnan(query.astype(np.float64))
+        asks, ids = t.column("asks").to_numpy(zero_copy_only=False), t.column("id").to_numpy()
         x = _matrix(t.column("vector"))
-        asked, given = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        asked, given = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(asked) or not len(given):
             return pa.table({"query_id": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        cid = t.column("cid").to_numpy(zero_copy_only=False)[given].astype(np.int64)
+        cid = ids[given]
         y, keep = x[given], min(k + 1, len(given))
         square = (y * y).sum(1)
         out = []
@@ -140,32 +150,35 @@ def _ranked(k: int):
             edge = rough[some].max() + 1e-9 * (abs(rough[some]).max() + x[i] @ x[i])
             some = np.flatnonzero(rough <= edge)
             score = np.sqrt(((y[some] - x[i]) ** 2).sum(1))
-            order = np.lexsort((cid[some], score))[:keep]
-            out.append((np.full(len(order), int(query[i])), cid[some][order], score[order]))
+            near = score <= np.partition(score, keep - 1)[keep - 1]  # with all that tie with the last
+            out.append((np.full(int(near.sum()), ids[i]), cid[some][near], score[near]))
         q, c, s = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table({"query_id": q.astype(np.int64), "cid": c, "score": s})
+        return pa.table({"query_id": q, "cid": c, "score": s})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: float = SHARE) -> DataFrame:
-    """queries and vectors (vec_id, embedding) -> (query_id, rank, vec_id, score)."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: float | None = None) -> DataFrame:
+    """queries and vectors (vec_id, embedding) -> (query_id, rank, vec_id, score); share of the vectors to look at, by default that of budget()."""
     spark = vectors.sparkSession
     for_python(spark)
-    clean = lambda df: df.select("vec_id", F.col("embedding").alias("vector")).filter(usable(F.col("vector")))
+    clean = lambda df: df.select("vec_id", F.col("embedding").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = clean(vectors)
     most = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = most["dim"] if most else 1
-    key = F.sha2(F.array_join(F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), " "), 256)
-    rows = rows.filter(F.size("vector") == dim).withColumn("key", key)
+    rows = rows.filter(F.size("vector") == dim).withColumn("key", vector_key(F.col("vector"))).dropDuplicates(["key", "vec_id"])
     first = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     members = written(rows.withColumn("at", first).filter(F.col("at") <= k + 1), "ann-members")
-    classes = written(members.filter("at = 1").select(F.col("vec_id").alias("cid"), "key", "vector"), "ann-classes")
+    # a class is known by a number of its own: ids may repeat
+    classes = written(members.filter("at = 1").select(F.monotonically_increasing_id().alias("cid"), "key", "vector"), "ann-classes")
+    n = classes.count()
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toArrow().column(0)
     forest = spark.sparkContext.broadcast(Forest(_matrix(sample) if len(sample) else np.zeros((0, dim))))
-    asks = written(clean(queries).filter(F.size("vector") == dim).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"]), "ann-queries")
+    asks = clean(queries).filter(F.size("vector") == dim).withColumn("key", vector_key(F.col("vector")))
+    asks = written(asks.groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by("vector", "key").alias("vector")), "ann-queries")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asks = asks.repartition(parts, "query_id")
+    share = budget(n) / max(1, n) if share is None else share
     leaves = asks.select("query_id", "vector").mapInArrow(_asked(forest, share), "query_id long, tree int, leaf int")
     places = classes.select("cid", "vector").mapInArrow(_placed(forest), "cid long, tree int, leaf int")
     leaves, places = written(leaves, "ann-asked"), written(places, "ann-places")
@@ -177,13 +190,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share:
     q = leaves.join(many, ["tree", "leaf"]).withColumn("i", own("query_id", "nq")).withColumn("j", every("nc")).join(asks, "query_id")
     c = places.join(many, ["tree", "leaf"]).withColumn("j", own("cid", "nc")).withColumn("i", every("nq")).join(classes.select("cid", "vector"), "cid")
     cols = ["tree", "leaf", "i", "j", "vector"]
-    both = q.select(*cols, "query_id", F.lit(None).cast("long").alias("cid")).unionByName(c.select(*cols, F.lit(None).cast("long").alias("query_id"), "cid"))
+    both = q.select(*cols, F.col("query_id").alias("id"), F.lit(True).alias("asks")).unionByName(c.select(*cols, F.col("cid").alias("id"), F.lit(False).alias("asks")))
     near = both.groupBy("tree", "leaf", "i", "j").applyInArrow(_ranked(k), "query_id long, cid long, score double").distinct()
-    best = Window.partitionBy("query_id").orderBy("score", "cid")
-    near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
+    # the classes as near as the k + 1 nearest: members of equal distance come from all of them
+    best = Window.partitionBy("query_id").orderBy("score")
+    near = near.withColumn("r", F.rank().over(best)).filter(F.col("r") <= k + 1).drop("r")
     named = near.join(classes.select("cid", "key"), "cid").join(members.select("key", "vec_id"), "key").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return named.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = named.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(out, "ann-nearest")
+    removed(spark, members, classes, asks, leaves, places, many)
+    return out
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
