@@ -66,18 +66,36 @@ def brute_lines(rows, least=5):
     return out
 
 
-def test_lines(rows, docs):
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(docs).collect()}
+@pytest.mark.parametrize("batches", [None, 7])
+def test_lines(rows, docs, batches):
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(docs, batches=batches).collect()}
     assert got == brute_lines(rows)
     assert sum(v[1] for v in got.values()) > 20
 
 
-def test_line_runs_compact(docs):
-    runs = lines.LineRuns(fanout=2)
-    keys = lines._keys(docs)
-    for low, high in ((2000, 10000), (500, 2000), (100, 500), (-1, 100)):
-        runs.add(keys.filter((F.col("id") >= low) & (F.col("id") < high)))
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
+def test_line_runs_are_disjoint_and_stay_in_place(docs):
+    keys = lines.long_lines(docs)
+    runs = lines.LineRuns(fanout=3)
+    for at in range(5):
+        runs.add(keys.filter(F.pmod("id", F.lit(5)) == at))
+    assert [len(level) for level in runs.levels] == [2, 1] and runs.deltas
+    want = {(r.h1, r.h2): (r.n, r.keeper) for r in keys.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).collect()}
+    assert {(r.h1, r.h2): (r.n, r.keeper) for r in runs.index().collect()} == want
+    assert sum(run.rows.count() for run in runs.runs()) == len(want)  # each key in one run
+    plan = runs.index(5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    runs.drop()
+
+
+def test_lines_of_hashed_and_repeated_ids(spark):
+    line = "a line that is long enough to be counted as one"
+    rows = [(i, f"{line}\nown {i}") for i in (-(2**63), -5, 2**62, 2**63 - 1)] + [(7, line), (7, f"x\n{line}")]
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = brute_lines(rows)  # by id: the rows of 7 are one document
+    assert [x for x in got if x[0] != 7] == sorted((i, d, t) for i, (_, d, t) in want.items() if i != 7)
+    assert [x for x in got if x[0] == 7] == [(7, 1, ""), (7, 1, "x")]
+    four = [(i, line) for i in range(3)] + [(3, line), (3, line)]
+    assert {r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(four, SCHEMA)).collect()} == {0}
 
 
 def brute_substrings(rows, n=20):
