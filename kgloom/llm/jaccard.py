@@ -5,22 +5,20 @@
 2. Prefixes: a document's shingles in rising (cell count, hash) order; the first
    n - ceil(0.8 n) + 1 of them are its prefix.  Linked sets share a token of their prefixes.
    Equal sets are one class, known by a hash of the set, and send their prefix once per task.
-3. Prefix join: postings meet by token.  A token's classes are cut where sizes differ too much
-   (length filter).  Up to PAIRS classes give the pairs that pass the length and positional
-   filters; larger groups give a star, which keeps every possible link inside one family.
-4. Families are the components of these candidates.  They are verified in blocks of at most
-   about BLOCK classes: after three dealings into blocks by hash, most of a large family hangs
-   together; then each class outside its family's largest part is compared with the whole family,
-   so no link that could join two parts is missed.  Inside a block the suffix filter (a bound on
-   the symmetric difference from shingle counts in hash ranges) leaves the pairs to intersect, each once.
-5. Components of the verified links give component_id.
-
-No step holds a family, a token's documents or a copy group in one task beyond a bounded block; a family's
-classes are sent once per dealing, and those outside its largest part once per block.
+3. Postings meet by token in slices of the hash space; those of tokens that one class holds go.  Postings of very
+   frequent tokens (by the counts) are not gathered: they go on as rows, whose token is split below.
+4. Prefix join, first turn: in each token's postings, in order of size, neighbours make a pair if it passes the length and
+   positional filters (tokens of more than BLOCK classes are dealt into blocks, twice).  Verified, these
+   pairs join most of what hangs together, at a cost in proportion to the postings.
+5. Second turn: pairs of postings of one token in different components, by the same filters, as an equi-join on the
+   token: classes outside the token's largest component meet all its classes, so no pair inside a component is made.
+6. Each distinct pair is verified once: the suffix filter (a bound on the symmetric difference from shingle counts
+   in hash ranges), then the intersection.  Pairs are gathered by a token that both hold, in groups of bounded bytes.
+7. Components of the verified links give component_id.
 
 Defined cases: null or wordless texts have the empty set and link with nothing; fewer than five
-words are one shingle; equal doc_ids are one component by their links; a null doc_id takes part as the smallest id;
-an empty table gives an empty result; other columns are ignored.
+words are one shingle; rows of one doc_id are told apart by their texts; a row without a doc_id takes part, its component's id being the
+smallest one there is (null without any); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._stage import for_python, table, written
+from ._stage import for_python, removed, table, written
 from ._text import Words, bytes_of, mix, ngrams, pieces
 
 SHINGLE, PERCENT = 5, 80
 CELLS, PARTS, PIECE, SEGMENT = 1 << 21, 64, 1 << 22, 1_000_000
-PAIRS, BLOCK, DEALS, RANGES = 8, 64, 3, 16
+#: Classes of a token's block, documents of a frequent token, postings of a slice, bytes of sets in a group of pairs.
+BLOCK, FREQUENT, SLICE, GROUP = 256, 20_000, 1_000_000, 32 << 20
+RANGES = 16
 _NONE = -(2**63)
 
 
@@ -105,40 +105,43 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(out.reshape(-1), 2**31 - 1)
 
 
-POSTINGS = "slice int, tokens binary, classes binary, sizes binary, places binary, ids binary"
+POSTINGS = "slice int, tokens binary, classes binary, sizes binary, places binary, ids binary, versions binary"
+SHARED = "token long, class long, size int, place int"
 
 
-def _postings(counts, slices: int):
-    """Rows of postings by slice of the token hashes; slice -1 has (class, size, id) of every document."""
+def _postings(counts, slices: int, frequent: int):
+    """Rows of postings by slice of the token hashes; slice -1 has (class, size, id, version) of every document, slice -2 the frequent tokens."""
 
     def pack(at, *cols):
-        names = ["slice", "tokens", "classes", "sizes", "places", "ids"]
+        names = ["slice", "tokens", "classes", "sizes", "places", "ids", "versions"]
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names)
 
-    def flush(tokens, classes, sizes, ids, mine, n):
-        none = np.empty(0, np.int32)
-        yield pack(-1, none, np.array(mine, np.int64), np.array(n, np.int32), none, np.array(ids, np.int64))
+    def flush(tokens, classes, sizes, ids, versions, mine, n):
+        none, count = np.empty(0, np.int32), counts.value
+        yield pack(-1, none, np.array(mine, np.int64), np.array(n, np.int32), none, np.array(ids, np.int64), np.array(versions, np.int64))
         if not tokens:
             return
         length = np.array([len(t) for t in tokens])
         token, cls = np.concatenate(tokens), np.repeat(np.array(classes, np.int64), length)
         size, place = np.repeat(np.array(sizes, np.int32), length), np.concatenate([np.arange(k, dtype=np.int32) for k in length])
         own = (token % np.uint64(slices)).astype(np.int64)
+        own[count[(token >> np.uint64(43)).astype(np.int64)] > frequent] = -2
         order = np.argsort(own, kind="stable")
         own = own[order]
         edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         for a, z in zip(edge, np.append(edge[1:], len(own)), strict=True):
             o = order[a:z]
-            yield pack(int(own[a]), token[o], cls[o], size[o], place[o], none)
+            yield pack(int(own[a]), token[o], cls[o], size[o], place[o], none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen, total = counts.value, set(), 0
-        state: tuple[list, ...] = ([], [], [], [], [], [])
-        tokens, classes, sizes, ids, mine, n = state
+        state: tuple[list, ...] = ([], [], [], [], [], [], [])
+        tokens, classes, sizes, ids, versions, mine, n = state
         for batch in batches:
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for doc_id, version, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2)), strict=True):
                 cls = class_of(s) if len(s) else 0
                 ids.append(doc_id)
+                versions.append(version)
                 mine.append(cls)
                 n.append(len(s))
                 if len(s) and cls not in seen:
@@ -165,33 +168,29 @@ def _column(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)])
 
 
-def _candidates(t: pa.Table) -> pa.Table:
-    """Edges (a, b) between classes that may be linked through the tokens of one slice."""
+def _shared(t: pa.Table) -> pa.Table:
+    """The postings of a slice, each (token, class) once, without the tokens of one class."""
     token, cls = _column(t, "tokens", np.uint64), _column(t, "classes", np.int64)
-    size, place = _column(t, "sizes", np.int32).astype(np.int64), _column(t, "places", np.int32).astype(np.int64)
-    order = np.lexsort((cls, size, token))
-    token, cls, size, place = token[order], cls[order], size[order], place[order]
+    order = np.lexsort((cls, token))
+    token, cls = token[order], cls[order]
     once = np.ones(len(token), bool)
     once[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, size, place = token[once], cls[once], size[once], place[once]
-    # a token's classes by size; the length filter cuts between neighbours too far apart
-    cut = np.ones(len(token), bool)
-    cut[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < PERCENT * size[1:])
-    group = np.cumsum(cut) - 1
-    members = np.bincount(group)[group]
-    found = []
-    for k in range(1, PAIRS):
-        i = np.flatnonzero((group[k:] == group[:-k]) & (members[k:] <= PAIRS))
-        j = i + k
-        fits = 100 * size[i] >= PERCENT * size[j]
-        fits &= 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= least_overlap(size[i], size[j])
-        found.append((cls[i[fits]], cls[j[fits]]))
-    head = np.maximum.accumulate(np.where(cut, np.arange(len(token)), 0))
-    star = np.flatnonzero((members > PAIRS) & ~cut)
-    found.append((cls[head[star]], cls[star]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+    order, token = order[once], token[once]
+    same = token[1:] == token[:-1]
+    kept = np.zeros(len(token), bool)
+    kept[1:] |= same
+    kept[:-1] |= same
+    return _rows(t, order[kept])
+
+
+def _rows(t: pa.Table, order: np.ndarray | slice) -> pa.Table:
+    kinds = {"token": ("tokens", np.int64), "class": ("classes", np.int64), "size": ("sizes", np.int32), "place": ("places", np.int32)}
+    return pa.table({name: _column(t, column, kind)[order] for name, (column, kind) in kinds.items()})
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _rows(pa.Table.from_batches([batch]), slice(None)).to_batches()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,65 +199,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
 
 
-class _Block:
-    """Sets side by side, and how many of each lie in RANGES ranges of the hash."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        self.end = np.cumsum(self.size)
-        self.tokens = np.concatenate(sets)
-        which = np.repeat(np.arange(len(sets)), self.size) * RANGES + (self.tokens >> np.uint64(60)).astype(np.int64)
-        self.ranges = np.bincount(which, minlength=len(sets) * RANGES).reshape(-1, RANGES)
-
-    def linked(self, s: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-        """Whether each set is linked with s."""
-        need = least_overlap(self.size, len(s))
-        may = (100 * np.minimum(self.size, len(s)) >= PERCENT * np.maximum(self.size, len(s)))
-        may &= np.abs(self.ranges - ranges).sum(1) <= self.size + len(s) - 2 * need
-        if not may.any():
-            return may
-        where = np.minimum(np.searchsorted(s, self.tokens), len(s) - 1)
-        hit = np.concatenate(([0], np.cumsum(s[where] == self.tokens)))
-        shared = hit[self.end] - hit[self.end - self.size]
-        return may & (100 * shared >= PERCENT * (self.size + len(s) - shared))
-
-
-def _inside(t: pa.Table) -> pa.Table:
-    """Links inside a block that join parts not yet joined: a forest with the block's components."""
-    cls = t.column("class").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]
-    out = []
-    if len(cls) > 1:
-        block, root = _Block(sets), np.arange(len(cls))
-        for i in range(1, len(cls)):
-            hits = np.flatnonzero(block.linked(sets[i], block.ranges[i])[:i])
-            for old in np.unique(root[hits]).tolist():
-                out.append((cls[old], cls[i]))
-                root[root == old] = i
-            # the newest member stands for the part
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _across(t: pa.Table) -> pa.Table:
-    """Links of the classes outside the largest part with others of the block."""
-    cls, asks, part = t.column("class").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False), t.column("part").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]
-    rest = np.flatnonzero(~asks)
-    out = []
-    if len(rest):
-        block = _Block([sets[i] for i in rest])
-        for i in np.flatnonzero(asks):
-            ranges = np.bincount((sets[i] >> np.uint64(60)).astype(np.int64), minlength=RANGES)
-            hits = rest[block.linked(sets[i], ranges) & (part[rest] != part[i])]
-            _, first = np.unique(part[hits], return_index=True)
-            out += [(cls[i], cls[j]) for j in hits[first]]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
 def _numbers(t: pa.Table) -> pa.Table:
-    return pa.table({"id": _column(t, "ids", np.int64), "class": _column(t, "classes", np.int64), "n": _column(t, "sizes", np.int32).astype(np.int64)})
+    return pa.table({"id": _column(t, "ids", np.int64), "version": _column(t, "versions", np.int64), "class": _column(t, "classes", np.int64), "n": _column(t, "sizes", np.int32).astype(np.int64)})
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,65 +208,156 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _numbers(pa.Table.from_batches([batch])).to_batches()
 
 
-def _spread(of: str, buckets) -> F.Column:
-    return F.pmod(F.xxhash64(of), buckets).cast("int")
+def _may_link(a: Column, b: Column, of) -> Column:
+    """The length and the positional filter for postings a and b; of(x, name) is a column of theirs."""
+    size, place = (lambda x: of(x, "size")), (lambda x: of(x, "place"))
+    long_enough = 100 * F.least(size(a), size(b)) >= PERCENT * F.greatest(size(a), size(b))
+    left = F.least(size(a) - place(a), size(b) - place(b))
+    return long_enough & ((100 + PERCENT) * left >= PERCENT * (size(a) + size(b)))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """(a, b, bytes, by): each pair of classes once, a < b, with the smallest token it was met by."""
+    low = F.col("class") < F.col("other")
+    named = pairs.select(F.when(low, F.col("class")).otherwise(F.col("other")).alias("a"), F.when(low, F.col("other")).otherwise(F.col("class")).alias("b"), "bytes", "token")
+    return named.groupBy("a", "b").agg(F.max("bytes").alias("bytes"), F.min("token").alias("by"))
+
+
+def neighbour_pairs(shared: DataFrame) -> DataFrame:
+    """First turn: neighbours by size among a token's classes."""
+    many = shared.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows, out = shared.join(many, "token"), None
+    for deal in range(2):
+        dealt = rows.filter("blocks > 1") if deal else rows
+        order = Window.partitionBy("token", "block").orderBy("size", "class")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(deal), "class"), "blocks")).withColumn("next", F.lead(F.struct("class", "size", "place")).over(order))
+        of = lambda x, name: x[name]
+        dealt = dealt.withColumn("own", F.struct("size", "place"))
+        fits = F.col("next").isNotNull() & _may_link(F.col("own"), F.col("next"), of)
+        found = dealt.filter(fits).select("class", F.col("next.class").alias("other"), (8 * (F.col("size") + F.col("next.size"))).cast("long").alias("bytes"), "token")
+        out = found if out is None else out.unionByName(found)
+    return _distinct(out)
+
+
+def apart_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Second turn: postings of one token in different components; parts (class, part) of the classes that have links."""
+    rows = shared.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    counted = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+    core = counted.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("core"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", "core")
+    core = written(core, "ngram-cores")
+    rows = rows.join(core, "token")
+    a, b = rows.filter("part <> core").alias("a"), rows.alias("b")
+    of = lambda x, name: F.col(f"{x}.{name}")
+    once = (of("b", "part") == of("b", "core")) | (of("a", "class") < of("b", "class"))
+    both = a.join(b, (of("a", "token") == of("b", "token")) & (of("a", "part") != of("b", "part")) & once & _may_link("a", "b", of))
+    found = both.select(of("a", "class").alias("class"), of("b", "class").alias("other"), (8 * (of("a", "size") + of("b", "size"))).cast("long").alias("bytes"), of("a", "token").alias("token"))
+    return _distinct(found)
+
+
+def _checked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs whose sets are linked."""
+    cls, first = np.unique(sets.column("class").to_numpy(), return_index=True)
+    tokens = sets.column("tokens")
+    own = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in first.tolist()]
+    a, b = (np.searchsorted(cls, pairs.column(c).to_numpy()) for c in ("a", "b"))
+    size = np.array([len(s) for s in own])
+    ranges = np.bincount(np.repeat(np.arange(len(own)), size) * RANGES + (np.concatenate(own) >> np.uint64(60)).astype(np.int64), minlength=len(own) * RANGES).reshape(-1, RANGES)
+    need = least_overlap(size[a], size[b])
+    may = np.abs(ranges[a] - ranges[b]).sum(1) <= size[a] + size[b] - 2 * need
+    a, b, need = a[may], b[may], need[may]
+    order = np.argsort(a, kind="stable")
+    a, b, need = a[order], b[order], need[order]
+    linked = np.zeros(len(a), bool)
+    edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
+    for p, q in zip(edge.tolist(), np.append(edge[1:], len(a)).tolist(), strict=True):
+        s = own[a[p]]
+        for p, q in [(x, min(x + 256, q)) for x in range(p, q, 256)]:
+            others = np.concatenate([own[i] for i in b[p:q]])
+            hit = s[np.minimum(np.searchsorted(s, others), len(s) - 1)] == others
+            ends = np.cumsum(size[b[p:q]])
+            linked[p:q] = np.add.reduceat(hit, ends - size[b[p:q]], dtype=np.int64) >= need[p:q]
+    return pa.table({"a": cls[a[linked]], "b": cls[b[linked]]})
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of distinct pairs (a, b, bytes, by); sets (class, tokens)."""
+    spark = pairs.sparkSession
+    total = pairs.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().bytes
+    slices = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
+    heavy = pairs.groupBy("by").agg(F.ceil(F.sqrt(F.sum("bytes") / GROUP)).alias("blocks"))
+    own = lambda c: F.pmod(F.xxhash64(c), "blocks").cast("int")
+    # tokens of few pairs share a slice, one of many is dealt into square blocks
+    slice_of = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("by"), F.lit(slices))).otherwise(-F.abs("by") - 1)
+    placed = written(pairs.join(heavy, "by").select(slice_of.alias("slice"), own("a").alias("i"), own("b").alias("j"), "a", "b"), "ngram-placed")
+    key = ["slice", "i", "j"]
+    wanted = placed.select(*key, F.col("a").alias("class")).union(placed.select(*key, "b")).distinct().join(sets, "class")
+    checked = lambda key, left, right: _checked(left, right)
+    wanted = wanted.select(*[F.col(c).alias(f"for_{c}") for c in key], "class", "tokens")
+    out = written(placed.groupBy(*key).cogroup(wanted.groupBy(*[f"for_{c}" for c in key])).applyInArrow(checked, "a long, b long"), "ngram-links")
+    removed(spark, placed)
+    return out
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """(id, version, n, class, part) of every document: rows of one part are linked, directly or not; part is null for the empty set."""
+    spark = docs.sparkSession
+    for_python(spark)
+    docs = docs.select(*own_columns(), "text")
+    counts = shingle_counts(docs)
+    slices = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 4 // SLICE)
+    frequent = max(FREQUENT, 16 * int(counts.mean()))
+    shared_counts = spark.sparkContext.broadcast(counts)
+    posted = written(docs.select("id", "version", "text").mapInArrow(_postings(shared_counts, slices, frequent), POSTINGS), "ngram-postings")
+    shared = posted.filter("slice >= 0").groupBy("slice").applyInArrow(lambda t: _shared(t), SHARED)
+    often = posted.filter("slice = -2").mapInArrow(_frequent, SHARED).dropDuplicates(["token", "class"])
+    shared = written(shared.unionByName(often), "ngram-shared")
+    members = written(posted.filter("slice = -1").mapInArrow(_unpack, "id long, version long, class long, n long"), "ngram-classes")
+    removed(spark, posted)
+    pairs = written(neighbour_pairs(shared), "ngram-pairs")
+    # one text of each class that some token brings together with another
+    first = members.filter("n > 0").groupBy("class").agg(F.min(F.struct("id", "version")).alias("first"))
+    first = first.join(shared.select("class").distinct(), "class", "left_semi").select("class", "first.*")
+    chosen = docs.join(first.select("id", "version"), ["id", "version"], "left_semi").select("text")
+    sets = written(chosen.mapInArrow(_sets, "class long, tokens binary"), "ngram-sets")
+    links = verified(pairs, sets)
+    named = lambda df: df.select(F.col("node").alias("class"), F.col("component").alias("part"))
+    more = apart_pairs(shared, named(components(links)))
+    more = written(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, sets))
+    groups = written(named(components(links)), "ngram-parts")
+    removed(spark, sets, shared, pairs, more)
+    return members.join(groups, "class", "left").select("id", "version", "n", "class", F.when(F.col("n") > 0, F.coalesce("part", "class")).alias("part"))
+
+
+def own_columns() -> list[Column]:
+    """What tells documents apart: the id and a hash of the text, since rows of one id may differ."""
+    return [F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.xxhash64("text").alias("version")]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    for_python(spark)
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), "text", F.col("doc_id").isNull().alias("none"))
-    counts = spark.sparkContext.broadcast(shingle_counts(docs))
-    slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = written(docs.select("id", "text").mapInArrow(_postings(counts, slices), POSTINGS), "ngram-postings")
-    edges = posted.filter("slice >= 0").groupBy("slice").applyInArrow(_candidates, "a long, b long")
-    members = written(posted.filter("slice < 0").mapInArrow(_unpack, "id long, class long, n long"), "ngram-classes")
-    families = components(edges).select(F.col("node").alias("class"), F.col("component").alias("family"))
-    firsts = written(members.filter("n > 0").groupBy("class").agg(F.min("id").alias("first")), "ngram-firsts")
-    links = written(_links(docs, families.join(firsts, "class")), "ngram-links")
-    groups = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
-    named = firsts.join(groups, "class", "left").select("class", "first", F.coalesce("part", "class").alias("part"))
-    named = written(named, "ngram-parts")
-    least = written(named.groupBy("part").agg(F.min("first").alias("component_id")), "ngram-least")
-    ids = written(named.join(least, "part").select("class", "component_id"), "ngram-components")
-    out = members.join(ids, "class", "left")
-    real = lambda c: F.when(F.col(c) != _NONE, F.col(c))
-    own = F.when((F.col("n") == 0) | F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")).select(
-        "doc_id", "n_shingles", F.when(F.col("component_id") != _NONE, F.col("component_id")).alias("component_id"))
-
-
-def _links(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """families (class, family, first) -> verified links (a, b) with the classes' true components."""
-    # rows of one id (all null ones have one) may hold different texts, so a text's class is taken from its own set
-    chosen = docs.join(families.select(F.col("first").alias("id")), "id", "left_semi").select("text")
-    sets = chosen.mapInArrow(_sets, "class long, tokens binary").dropDuplicates(["class"])
-    sets = written(sets.join(families.select("class", "family"), "class").select("class", "family", "tokens"), "ngram-sets")
-    sizes = written(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "ngram-families")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    sized = sets.join(sizes, "family")
-    schema = "a long, b long"
-    links = None
-    for deal in range(DEALS):
-        dealt = (sized if deal == 0 else sized.filter(F.col("m") > BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit(deal), "class"), blocks))
-        found = dealt.groupBy("family", "block").applyInArrow(lambda t: _inside(t), schema)
-        links = found if links is None else links.unionByName(found)
-    links = written(links, "ngram-inside")
-    # what still hangs apart in families of more than one block
-    parts = components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "part")
-    large = sets.join(sizes.filter(F.col("m") > BLOCK), "family").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
-    large = written(large, "ngram-large")
-    counted = large.groupBy("family", "part").agg(F.count(F.lit(1)).alias("k"))
-    core = written(counted.groupBy("family").agg(F.max_by("part", F.struct("k", "part")).alias("core"), F.sum("k").alias("total"), F.max("k").alias("most")), "ngram-cores")
-    core = core.filter("most < total").withColumn("ask_blocks", F.ceil((F.col("total") - F.col("most")) / BLOCK)).withColumn("all_blocks", F.ceil(F.col("total") / BLOCK))
-    rows = large.join(core, "family")
-    many = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
-    row = ["family", "class", "part", "tokens"]
-    asking = rows.filter("part <> core").withColumn("i", F.pmod(F.xxhash64("class"), F.col("ask_blocks")).cast("int")).withColumn("j", many("all_blocks")).withColumn("asks", F.lit(True))
-    asked = rows.withColumn("j", F.pmod(F.xxhash64("class"), F.col("all_blocks")).cast("int")).withColumn("i", many("ask_blocks")).withColumn("asks", F.lit(False))
-    both = asking.select(*row, "i", "j", "asks").unionByName(asked.select(*row, "i", "j", "asks"))
-    return links.unionByName(both.groupBy("family", "i", "j").applyInArrow(lambda t: _across(t), schema))
+    rows = written(_parts(docs), "ngram-named")
+    real = F.when(F.col("id") != _NONE, F.col("id"))
+    least = rows.filter("n > 0").groupBy("part").agg(F.min(real).alias("least"))
+    out = rows.join(least, "part", "left")
+    return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(real).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but one of each group of linked documents: the smallest doc_id stays (rows without one only if there is none)."""
+    rows = written(_parts(docs).filter("n > 0"), "ngram-named")
+    order = F.struct((F.col("id") == _NONE).alias("none"), "id", "version")
+    best = rows.groupBy("part").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    of_many = rows.join(best, "part")
+    last = (F.col("id") != F.col("best.id")) | (F.col("version") != F.col("best.version"))
+    gone = written(of_many.filter(last).select("id", "version").distinct(), "ngram-gone")
+    again = written(of_many.filter(~last).groupBy("id", "version").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id", "version"), "ngram-again")
+    keyed = docs.select(*own_columns(), F.struct(*docs.columns).alias("row")).join(gone, ["id", "version"], "left_anti")
+    out = keyed.join(again, ["id", "version"], "left_anti")
+    if not again.isEmpty():  # rows equal in id and text
+        out = out.unionByName(keyed.join(again, ["id", "version"], "left_semi").dropDuplicates(["id", "version"]))
+    return out.select("row.*")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
