@@ -8,16 +8,20 @@ probe the sorted piece keys, and a maximum over the lengths stores score and bac
 For a unigram model the score is the sum of the pieces' scores.  The scores of a BPE model are
 merge ranks, whose sum does not reproduce the merges; its lattice is restricted instead: a piece
 may follow the last piece of a prefix only if no merge across their border would have come first
-(undoing the later merge of the two, step by step, tells).  Exactly one path is left then, the
-one that merging gives.  Runs of blanks (their pieces share one score) and words of more than
-LONGEST characters are merged by a heap.
+(undoing the later merge of the two, step by step, tells; of merges of equal score the left one comes first).
+Exactly one path is left then, the one that merging gives.
+
+Words of more than CUT characters (also those of scripts without blanks) are first cut wherever no piece reaches across, and
+their parts advance like words.  A part of more than ALONE characters has too few of its length to
+advance with: the matches of all its places are looked up together and its maxima are stored one by one.
 
 The vocabulary is read once on the driver from a given path and sent to the tasks (its size is the vocabulary's).
 Only models without normalisation beyond the blank mark are accepted.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary become byte
 pieces; a text holding the blank mark U+2581 itself decodes to a blank there (round_trip false);
-equal rows are encoded alike; an empty table gives an empty result; other columns pass through.
+equal rows are encoded alike; an empty table gives an empty result; other columns pass through, but for one named
+like the column made (ids or decoded), which is replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._stage import for_python, table
+from ._stage import for_python, passing, schema_of, table
 from ._text import bytes_of, mix, pieces, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST, PIECE, CACHE_WORDS = 48, 1 << 21, 1_500_000
+CUT, ALONE, CELLS, PIECE, CACHE_WORDS = 32, 256, 1 << 21, 1 << 21, 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Last piece of a prefix: none, or a character outside the vocabulary.
@@ -81,9 +85,8 @@ class Vocabulary:
         inside = {c for i in normal if len(self.text[i]) > 1 for c in self.text[i]}
         self.alone = np.array([b < 128 and chr(b) not in inside and b != 32 for b in range(256)])
         self.additive = _is_additive(path)
-        #: order of merging; single characters come before all merges
-        rank = np.empty(len(self.text), np.int64)
-        rank[np.lexsort((np.arange(len(self.text)), -self.score))] = np.arange(len(self.text))
+        #: order of merging, equal for equal scores; single characters come before all merges
+        rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
         rank[[i for i in normal if len(self.text[i]) == 1]] = -1
         self.rank = rank
         pairs = {}
@@ -198,6 +201,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pair, self.pair_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.one: dict[tuple[int, int], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -299,23 +303,104 @@ class Encoder:
             out[starts[o] : starts[o] + len(s)] = self.v.byte[list(s)]
         return out, np.bincount(np.repeat(row, width), minlength=n)
 
+    def _along(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of one long word: the search of _advance(), its maxima one by one."""
+        v, length = self.v, len(codes)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * powers(_BASE, length))))
+        back = powers(_BACK, length + 1)
+        found = []
+        for k in range(1, min(length, v.longest) + 1):
+            rows, piece = v.probe(mix((run[k:] - run[:-k]) * back[: length + 1 - k] + np.uint64(k)))
+            found.append((rows + k, np.full(len(rows), k), piece))
+        end, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, end))
+        first = np.searchsorted(end[order], np.arange(length + 2)).tolist()
+        size, piece = size[order].tolist(), piece[order].tolist()
+        fine = ((v.rank < 0) | (v.left >= 0)).tolist() if not v.additive else []
+        single = np.zeros(length + 1, bool)
+        single[end[order][np.array(size) == 1]] = True
+        best, last, step = [0.0] + [-np.inf] * length, [-3] + [_DEAD] * length, [0] * (length + 1)
+        floor = v.score.min() - 10 if v.additive else 0
+        for i in range(1, length + 1):
+            for at in range(first[i], first[i + 1]):
+                k, p = size[at], piece[at]
+                if best[i - k] == -np.inf:
+                    continue
+                if v.additive:
+                    value = best[i - k] + v.score[p]
+                elif fine[p] and self._one_follows(last[i - k], p):
+                    value = 0.0
+                else:
+                    continue
+                if value > best[i]:
+                    best[i], last[i], step[i] = value, p, k
+            if best[i] == -np.inf and best[i - 1] > -np.inf and not single[i]:
+                best[i], last[i], step[i] = best[i - 1] + floor, _UNKNOWN, 1
+        out, at = [], length
+        while at:
+            out.append([last[at]] if last[at] != _UNKNOWN else self.v.byte[list(chr(codes[at - 1]).encode(errors="surrogatepass"))].tolist())
+            at -= step[at]
+        return np.array([p for part in reversed(out) for p in part], np.int32)
+
+    def _one_follows(self, a: int, b: int) -> bool:
+        known = self.one.get((a, b))
+        if known is None:
+            if len(self.one) > 1 << 20:
+                self.one.clear()
+            known = self.one[a, b] = bool(self._kept_apart(np.array([a]), np.array([b]))[0])
+        return known
+
+    def _parts(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(characters of all words, first and end of every part): words are cut where no piece holds both neighbours."""
+        v = self.v
+        codes = np.concatenate([np.append(w, np.uint32(0x110000)) for w in words])  # a mark between words that no piece holds
+        n = len(codes)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * powers(_BASE, n))))
+        back = powers(_BACK, n + 1)
+        held = np.zeros(n + 2, np.int64)
+        for k in range(2, min(n, v.longest) + 1):
+            rows, _ = v.probe(mix((run[k:] - run[:-k]) * back[: n + 1 - k] + np.uint64(k)))
+            np.add.at(held, rows + 1, 1)
+            np.add.at(held, rows + k, -1)
+        free = np.cumsum(held)[:n] == 0  # nothing reaches across the border before a character
+        first = np.flatnonzero(free)
+        end = np.append(first[1:], n)
+        word = codes[first] != 0x110000
+        return codes, first[word], end[word]
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number per word)."""
-        length = np.array([len(w) for w in words])
-        slow = np.array([n > LONGEST or MARK + MARK in w for n, w in zip(length, words, strict=True)])
-        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        for n in np.unique(length[~slow]):
-            rows = np.flatnonzero((length == n) & ~slow)
-            for a in range(0, len(rows), 20_000):
-                some = rows[a : a + 20_000]
-                codes = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
-                flat, count = self._advance(codes)
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        chars = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) for w in words]
+        length = np.array([len(w) for w in chars])
+        long = np.flatnonzero(length > CUT)
+        short = np.flatnonzero(length <= CUT)
+        codes = np.concatenate([chars[i] for i in short] or [np.empty(0, np.uint32)])
+        end = np.cumsum(length[short])
+        first, owner = end - length[short], short
+        if len(long):
+            more, a, z = self._parts([chars[i] for i in long])
+            at = np.searchsorted(np.cumsum(length[long] + 1), a, side="right")
+            first, end, owner = np.concatenate((first, a + len(codes))), np.concatenate((end, z + len(codes))), np.concatenate((owner, long[at]))
+            codes = np.concatenate((codes, more))
+        size = end - first
+        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(size)
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            if n > ALONE:
+                for i in rows.tolist():
+                    ids[i] = self._along(codes[first[i] : end[i]])
+                continue
+            most = max(1, min(20_000, CELLS // max(1, n)))
+            for a in range(0, len(rows), most):
+                some = rows[a : a + most]
+                flat, count = self._advance(codes[first[some][:, None] + np.arange(n)])
                 ends = np.cumsum(count).tolist()
                 for i, x, y in zip(some.tolist(), [0, *ends[:-1]], ends, strict=True):
                     ids[i] = flat[x:y]
-        for i in np.flatnonzero(slow):
-            ids[i] = np.array(self.v.merged(words[i]), np.int32)
-        return (np.concatenate(ids) if ids else np.empty(0, np.int32)), np.array([len(x) for x in ids], np.int64)
+        order = np.lexsort((first, owner))
+        return np.concatenate([ids[i] for i in order.tolist()]), np.bincount(owner, [len(x) for x in ids], len(words)).astype(np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number per text) of UTF-8 texts side by side."""
@@ -384,50 +469,46 @@ class Decoder:
         return data[keep], kept[last]
 
 
-def _encoded(vocabulary, names: list[str]):
+def _encoded(vocabulary, names: list[str], at_text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            data, offsets = bytes_of(batch.column("text"))
+            data, offsets = bytes_of(batch.column(at_text))
             for a, z in pieces(np.diff(offsets), PIECE):
                 at = offsets[a : z + 1]
                 ids, count = encoder.encode(data[at[0] : at[-1]], at - at[0])
                 first = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(first), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_pydict({c: batch.column(c)[a:z] for c in names} | {"ids": lists})
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:z] for i in range(len(names))), lists], [*names, "ids"])
 
     return run
 
 
-def _decoded(vocabulary, names: list[str]):
+def _decoded(vocabulary, names: list[str], at_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(vocabulary.value)
         for batch in batches:
-            lists = batch.column("ids")
+            lists = batch.column(at_ids)
             count = np.asarray(lists.value_lengths().fill_null(0), np.int64)
             data, at = decoder.decode(np.asarray(lists.flatten(), np.int64), count)
             text = [bytes(data[a:z]).decode("utf-8", "replace") for a, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"decoded": pa.array(text, pa.string())})
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(text, pa.string())], [*names, "decoded"])
 
     return run
 
 
-def _schema(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
-
-
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs with `ids`, the piece ids of `text`."""
     for_python(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    return docs.mapInArrow(_encoded(vocabulary, docs.columns), _schema(docs, "ids array<int>"))
+    vocabulary, names = docs.sparkSession.sparkContext.broadcast(Vocabulary(path)), passing(docs, "ids")
+    return docs.select(*names).mapInArrow(_encoded(vocabulary, names, names.index("text")), schema_of(docs, names, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded with `decoded`, the text of `ids`."""
     for_python(encoded.sparkSession)
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    return encoded.mapInArrow(_decoded(vocabulary, encoded.columns), _schema(encoded, "decoded string"))
+    vocabulary, names = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path)), passing(encoded, "decoded")
+    return encoded.select(*names).mapInArrow(_decoded(vocabulary, names, names.index("ids")), schema_of(encoded, names, "decoded string"))
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -114,6 +114,34 @@ def test_substrings(rows, docs):
     assert got == brute_substrings(rows)
 
 
+def test_substrings_with_a_notice_in_every_document(spark):
+    """A short notice in ever new surroundings: its windows all differ, and no slice gets them all."""
+    rng, notice = random.Random(1), " ".join(f"n{i}" for i in range(12))
+    some = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    rows = [(i, f"{some(50)} {notice} {some(50)}") for i in range(3000)] + [(9000 + i, "a b " * (12 + i)) for i in range(5)] + [(9100, "x " * 23)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.dedup_substrings(docs).collect()} == brute_substrings(rows)
+    sizes = [r.n for r in substrings.window_blobs(docs).filter("slice >= 0").groupBy("slice").agg((F.sum(F.length("windows")) / 8).alias("n")).collect()]
+    assert sum(sizes) < 3000 * 40 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
+def test_sketch_keeps_all_repeated_windows(spark, monkeypatch):
+    """Also where the sketch is far too small."""
+    monkeypatch.setattr(substrings, "MOST_BITS", 9)
+    monkeypatch.setattr(substrings, "LEAST_BITS", 9)
+    monkeypatch.setattr(substrings, "RANGES", 4)
+    rows = made(60, 5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_substrings_of_repeated_ids(spark):
+    w = " ".join(f"v{i}" for i in range(25))
+    rows = [(1, w), (2, f"x {w}"), (2, f"x y {w}"), (2, f"x {w}"), (3, "z " * 10)]
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in substrings.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, w), (2, 25, "x"), (2, 25, "x"), (2, 25, "x y"), (3, 0, "z " * 9 + "z")]
+
+
 def brute_components(rows):
     sets = {}
     for i, text in rows:
@@ -176,6 +204,10 @@ def test_pieces_equal_the_library(spark, rows):
     model = LIBRARY.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(4)
     texts = [t for _, t in rows] + ["  a   b ", "日本語 ☃ 😀x", "a" * 300, "\n\n\ta\r\n", "hello world", "aaaa bb" * 20]
+    texts += ["ab" * 700, "=-" * 300, "日本語テキスト" * 30, " " * 70 + "x", " " * 17 + "hello" + " " * 33 + "a", "x" + " " * 20]
+    parts = ["a", "e", "th", "Qx", " ", "  ", "    ", "http://", "/", "é", "日", "_-", "ing", "0"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 300))) for _ in range(100)]
+    texts += ["".join(rng.choice("abcxyzABCXYZ0189+/") for _ in range(rng.randint(40, 2000))) for _ in range(30)]
     texts += ["".join(rng.choice("abcdeth .,\né☃") for _ in range(rng.randint(1, 60))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     out = {r.doc_id: r for r in pieces.decode(pieces.encode(docs)).collect()}
@@ -205,7 +237,18 @@ def test_additive_lattice(spark):
             return 0.0, []
         return max((best(w[k:])[0] + v.score[v.known[w[:k]]], [v.known[w[:k]]] + best(w[k:])[1]) for k in range(1, 4) if w[:k] in v.known and k <= len(w))
 
+    def best_of_long(w):
+        top = [0.0]
+        for i in range(1, len(w) + 1):
+            top.append(max(top[i - k] + v.score[v.known[w[i - k : i]]] for k in range(1, 4) if k <= i and w[i - k : i] in v.known))
+        return top[-1]
+
     e = pieces.Encoder(v)
     for w in ("a", "abb", "abbabb", "bbbab"):
         ids, _ = e.words([w])
         assert v.score[ids].sum() == pytest.approx(best(w)[0])
+    long = ["abb" * 11 + "a" * 20, "ab" * 60, "b" * 49, "abbab" * 200, "bab" * 33, "a" * 400]
+    ids, count = e.words(long)
+    ends = np.cumsum(count)
+    for w, x, y in zip(long, ends - count, ends, strict=True):
+        assert "".join(v.text[i] for i in ids[x:y]) == w and v.score[ids[x:y]].sum() == pytest.approx(best_of_long(w))
