@@ -114,8 +114,9 @@ def test_substrings(rows, docs):
     assert got == brute_substrings(rows)
 
 
-def test_substrings_with_a_notice_in_every_document(spark):
+def test_substrings_with_a_notice_in_every_document(spark, monkeypatch):
     """A short notice in ever new surroundings: its windows all differ, and no slice gets them all."""
+    monkeypatch.setattr(substrings, "FREQUENT", 500)
     rng, notice = random.Random(1), " ".join(f"n{i}" for i in range(12))
     some = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
     rows = [(i, f"{some(50)} {notice} {some(50)}") for i in range(3000)] + [(9000 + i, "a b " * (12 + i)) for i in range(5)] + [(9100, "x " * 23)]
