@@ -1,7 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of PASSAGE words (the last one may be shorter).  Every passage is
-encoded by the bytes and words it holds; a hidden layer h = tanh(V x) and gated attention weights
+A document is a bag of passages of PASSAGE words (the last one may be shorter).  A passage is
+encoded by what its words are - the mean of learned embedding rows of its hashed words and of their hashed first and last three bytes -
+and by how it looks - shares of kinds of bytes and word statistics x.  A hidden layer h = tanh(V x + mean of the rows) and gated attention weights
 a = softmax(w . (tanh(A h) * sigmoid(B h))) make one weighted representation of the bag, which a
 logistic output scores.  All weights are learned together, by Adam on the document labels only;
 no passage has a label.  The model is fitted on the driver from at most `most` labelled documents
@@ -10,7 +11,7 @@ of a text.
 
 Defined cases: a null text is an empty one; an empty text is a bag of one empty passage and gets
 the score that makes; where no labelled document exists every score is 0.5; labels that conflict
-for one doc_id count as separate examples; other columns pass through.
+for one doc_id count as separate examples; other columns pass through, but for one named score, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._stage import for_python, held_out, table
-from ._text import Words, bytes_of, pieces
+from ._stage import for_python, held_out, passing, schema_of, table
+from ._text import Words, bytes_of, mix, pieces
 
-PASSAGE, PIECE = 64, 1 << 21
-MOST, HIDDEN, GATE, EPOCHS, BATCH, SEED = 4000, 24, 12, 60, 64, 7
+PASSAGE, PIECE = 64, 1 << 20
+MOST, HIDDEN, GATE, EPOCHS, BATCH, SEED = 4000, 24, 12, 24, 64, 7
+#: Embedding rows of hashed words, and as many of hashed ends of words; tokens of a word.
+ROWS, GRAMS = 2048, 3
 THRESHOLD = 0.3
 _KINDS = 12
 
@@ -45,15 +48,54 @@ _KIND = _byte_kinds()
 WIDTH = _KINDS + 9
 
 
-def encode(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per piece of the texts: (features of the passages, first passage of each text and the end)."""
+class Bags:
+    """Passages of some texts side by side: features x, embedding rows of their tokens (GRAMS a word), words of each, and bag[i]:bag[i+1] the passages of text i."""
+
+    __slots__ = ("x", "tokens", "filled", "bag")
+
+    def __init__(self, x: np.ndarray, tokens: np.ndarray, filled: np.ndarray, bag: np.ndarray):
+        self.x, self.tokens, self.filled, self.bag = x, tokens, filled, bag
+
+    def means(self, rows: np.ndarray) -> np.ndarray:
+        """The mean embedding row of each passage; nothing for one without words."""
+        out = np.zeros((len(self.x), rows.shape[1]), rows.dtype)
+        some = np.flatnonzero(self.filled)
+        if len(some):
+            first = GRAMS * (np.cumsum(self.filled) - self.filled)[some]
+            out[some] = np.add.reduceat(rows[self.tokens], first, axis=0) / (GRAMS * self.filled[some, None])
+        return out
+
+    def shares(self, rows: int) -> np.ndarray:
+        """Passages by rows: the share of each row among a passage's tokens."""
+        of = np.repeat(np.arange(len(self.x)), GRAMS * self.filled)
+        out = np.bincount(of * rows + self.tokens, minlength=len(self.x) * rows).reshape(len(self.x), rows).astype(np.float32)
+        return out / np.maximum(GRAMS * self.filled, 1).astype(np.float32)[:, None]
+
+
+def encode(texts: pa.Array) -> Iterator[Bags]:
+    """Per piece of the texts its passages."""
     data, offsets = bytes_of(texts)
     for a, z in pieces(np.diff(offsets), PIECE):
         at = offsets[a : z + 1]
         yield _encoded(data[at[0] : at[-1]], at - at[0])
 
 
-def _encoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(words: Words) -> np.ndarray:
+    """The embedding rows of each word: of the word, its first and its last three bytes."""
+    data, start, end = words.data, words.start, words.end
+    out = np.empty((len(start), GRAMS), np.int32)
+    out[:, 0] = words.hash % np.uint64(ROWS)
+    for at, (first, step) in enumerate(((start, 1), (end - 1, -1))):
+        gram = np.full(len(start), at + 1, np.uint64)
+        for k in range(3):
+            place = first + step * k
+            inside = (place >= start) & (place < end)
+            gram = (gram << np.uint64(8)) | np.where(inside, data[np.where(inside, place, first)], 0).astype(np.uint64)
+        out[:, at + 1] = ROWS + (mix(gram) % np.uint64(ROWS)).astype(np.int32)
+    return out.ravel()
+
+
+def _encoded(data: np.ndarray, offsets: np.ndarray) -> Bags:
     words = Words(data, offsets, lower=True)
     rows = len(offsets) - 1
     per = np.diff(words.first)
@@ -96,7 +138,7 @@ def _encoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         x[:, _KINDS + 6] = np.bincount(of, marks == 5, n) / filled_1
         x[:, _KINDS + 7] = np.bincount(of, words.end - words.start == 1, n) / filled_1
     x[:, _KINDS + 8] = np.minimum(filled / PASSAGE, 1)
-    return x, bag
+    return Bags(x, _tokens(words), filled, bag)
 
 
 class Attention:
@@ -106,15 +148,15 @@ class Attention:
         rng = np.random.default_rng(seed)
         self.w = {
             "mean": np.zeros(width), "scale": np.ones(width),
-            "V": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "v": np.zeros(HIDDEN),
+            "V": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "v": np.zeros(HIDDEN), "E": np.zeros((2 * ROWS, HIDDEN), np.float32),
             "A": rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, GATE)), "B": rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, GATE)),
             "g": rng.normal(0, 1 / np.sqrt(GATE), GATE), "o": np.zeros(HIDDEN), "c": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, bag: np.ndarray):
+    def forward(self, x: np.ndarray, bag: np.ndarray, means: np.ndarray):
         w = self.w
         z = np.clip((x - w["mean"]) / w["scale"], -8, 8)
-        h = np.tanh(z @ w["V"] + w["v"])
+        h = np.tanh(z @ w["V"] + w["v"] + means)
         a, b = np.tanh(h @ w["A"]), 1 / (1 + np.exp(-(h @ w["B"])))
         e = (a * b) @ w["g"]
         rows = np.repeat(np.arange(len(bag) - 1), np.diff(bag))
@@ -124,33 +166,38 @@ class Attention:
         y = 1 / (1 + np.exp(-np.clip(m @ w["o"] + w["c"], -30, 30)))
         return y, (z, h, a, b, p, m, rows)
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Attention:
-        n = sum(map(len, bags))
-        self.w["mean"] = sum(b.sum(0, dtype=np.float64) for b in bags) / n
-        self.w["scale"] = np.sqrt(sum(((b - self.w["mean"]) ** 2).sum(0) for b in bags) / n) + 1e-3
+    def score(self, bags: Bags) -> np.ndarray:
+        return self.forward(bags.x, bags.bag, bags.means(self.w["E"]))[0]
+
+    def fit(self, bags: list[Bags], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Attention:
+        """bags: one text each."""
+        n = sum(len(b.x) for b in bags)
+        self.w["mean"] = sum(b.x.sum(0, dtype=np.float64) for b in bags) / n
+        self.w["scale"] = np.sqrt(sum(((b.x - self.w["mean"]) ** 2).sum(0) for b in bags) / n) + 1e-3
         self.w["c"][:] = np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))
-        rng, learned = np.random.default_rng(seed), ["V", "v", "A", "B", "g", "o", "c"]
+        rng, learned = np.random.default_rng(seed), ["V", "v", "E", "A", "B", "g", "o", "c"]
         first = {k: np.zeros_like(self.w[k]) for k in learned}
         second = {k: np.zeros_like(self.w[k]) for k in learned}
         step = 0
         for epoch in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BATCH):
-                picked = order[at : at + BATCH]
-                x = np.concatenate([bags[i] for i in picked]).astype(np.float64)
-                bag = np.concatenate(([0], np.cumsum([len(bags[i]) for i in picked])))
-                grads = self._gradients(x, bag, labels[picked])
+                some = [bags[i] for i in order[at : at + BATCH]]
+                x, tokens, filled = (np.concatenate([getattr(b, c) for b in some]) for c in ("x", "tokens", "filled"))
+                bag = np.concatenate(([0], np.cumsum([len(b.x) for b in some])))
+                grads = self._gradients(Bags(x.astype(np.float64), tokens, filled, bag), labels[order[at : at + BATCH]])
                 step += 1
-                rate = 0.01 * (1 - epoch / epochs)
+                rate = 0.02 * (1 - epoch / epochs)
                 for k in learned:
-                    g = grads[k] + 1e-4 * self.w[k]
+                    g = grads[k] + (1e-3 if k == "E" else 1e-4) * self.w[k]
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.001 * (g * g - second[k])
                     self.w[k] = self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def _gradients(self, x, bag, labels):
-        y, (z, h, a, b, p, m, rows) = self.forward(x, bag)
+    def _gradients(self, bags: Bags, labels: np.ndarray):
+        shares, bag = bags.shares(len(self.w["E"])), bags.bag
+        y, (z, h, a, b, p, m, rows) = self.forward(bags.x, bag, shares @ self.w["E"])
         w, d = self.w, (y - labels) / len(labels)
         dm = d[:, None] * w["o"]
         dh = p[:, None] * dm[rows]
@@ -158,7 +205,7 @@ class Attention:
         de = p * (dp - np.add.reduceat(p * dp, bag[:-1])[rows])
         da, db = de[:, None] * w["g"] * b * (1 - a * a), de[:, None] * w["g"] * a * b * (1 - b)
         dh = (dh + da @ w["A"].T + db @ w["B"].T) * (1 - h * h)
-        return {"o": m.T @ d, "c": np.array([d.sum()]), "g": (a * b).T @ de, "A": h.T @ da, "B": h.T @ db, "V": z.T @ dh, "v": dh.sum(0)}
+        return {"o": m.T @ d, "c": np.array([d.sum()]), "g": (a * b).T @ de, "A": h.T @ da, "B": h.T @ db, "V": z.T @ dh, "v": dh.sum(0), "E": shares.T @ dh.astype(shares.dtype)}
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -169,43 +216,48 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Attention | None:
     """The network from at most `most` labelled documents; null without two kinds of labels."""
-    schema = "key long, label double, width int, x binary"
+    schema = "key long, label double, x binary, tokens binary, filled binary"
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(docs, labels, most)), "doc_id")
     rows = chosen.select(F.xxhash64("doc_id").alias("key"), "text", "quality").mapInArrow(_training, schema).collect()
-    found = sorted(rows, key=lambda r: (r.key, r.label, bytes(r.x)))
+    found = sorted(rows, key=lambda r: (r.key, r.label, bytes(r.tokens), bytes(r.x)))
     labels = np.array([r.label for r in found])
     if not len(labels) or labels.min() == labels.max():
         return None
-    return Attention(WIDTH).fit([np.frombuffer(r.x, np.float32).reshape(-1, r.width) for r in found], labels)
+    return Attention(WIDTH).fit([_read(r.x, r.tokens, r.filled) for r in found], labels)
+
+
+def _read(x: bytes, tokens: bytes, filled: bytes) -> Bags:
+    x = np.frombuffer(x, np.float32).reshape(-1, WIDTH)
+    return Bags(x, np.frombuffer(tokens, np.uint16).astype(np.int64), np.frombuffer(filled, np.uint16).astype(np.int64), np.array([0, len(x)]))
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for x, bag in encode(batch.column(1)):
-            kept = [x[a:z].tobytes() for a, z in zip(bag[:-1], bag[1:], strict=True)]
-            n = len(kept)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[at : at + n], batch.column(2)[at : at + n], pa.array([WIDTH] * n, pa.int32()), pa.array(kept, pa.binary())],
-                ["key", "label", "width", "x"])
+        for b in encode(batch.column(1)):
+            n = len(b.bag) - 1
+            ends = GRAMS * np.concatenate(([0], np.cumsum(b.filled)))[b.bag]
+            cut = list(zip(b.bag[:-1].tolist(), b.bag[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            kept = [[b.x[a:z].tobytes(), b.tokens[p:q].astype(np.uint16).tobytes(), b.filled[a:z].astype(np.uint16).tobytes()] for a, z, p, q in cut]
+            cols = [pa.array([k[i] for k in kept], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + n], batch.column(2)[at : at + n], *cols], ["key", "label", "x", "tokens", "filled"])
             at += n
 
 
 def scored(docs: DataFrame, model: Attention | None) -> DataFrame:
     """docs with `score`, the probability of label 1."""
-    names = docs.columns
+    names = passing(docs, "score")
+    at_text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if model is None:
                 score = np.full(batch.num_rows, 0.5)
             else:
-                found = [model.forward(x, bag)[0] for x, bag in encode(batch.column("text"))]
-                score = np.concatenate(found) if found else np.empty(0)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"score": pa.array(score, pa.float64())})
+                score = np.concatenate([np.empty(0), *(model.score(bags) for bags in encode(batch.column(at_text)))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(score, pa.float64())], [*names, "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema_of(docs, names, "score double"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Attention | None:

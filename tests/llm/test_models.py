@@ -47,17 +47,32 @@ def test_quality_held_out(spark, made_rows):
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     net = quality.Attention(5)
-    net.w["o"] = rng.normal(size=net.w["o"].shape)
-    x, bag, y = rng.normal(size=(9, 5)), np.array([0, 4, 5, 9]), np.array([1.0, 0.0, 1.0])
-    loss = lambda: -np.mean(y * np.log(net.forward(x, bag)[0]) + (1 - y) * np.log(1 - net.forward(x, bag)[0]))
-    for name, g in net._gradients(x, bag, y).items():
+    net.w["o"], net.w["E"] = rng.normal(size=net.w["o"].shape), rng.normal(size=net.w["E"].shape)
+    filled = np.array([3, 0, 5, 1, 2, 4, 4, 1, 2])
+    bags = quality.Bags(rng.normal(size=(9, 5)), rng.integers(0, 6, quality.GRAMS * filled.sum()), filled, np.array([0, 4, 5, 9]))
+    y = np.array([1.0, 0.0, 1.0])
+    assert np.allclose(bags.shares(len(net.w["E"])) @ net.w["E"], bags.means(net.w["E"]), atol=1e-5)
+    loss = lambda: -np.mean(y * np.log(net.score(bags)) + (1 - y) * np.log(1 - net.score(bags)))
+    for name, g in net._gradients(bags, y).items():
         at = tuple(0 for _ in g.shape)
-        net.w[name][at] += 1e-6
+        if name == "E":
+            at = (int(bags.tokens[0]), 1)
+        net.w[name][at] += 1e-5
         up = loss()
-        net.w[name][at] -= 2e-6
+        net.w[name][at] -= 2e-5
         down = loss()
-        net.w[name][at] += 1e-6
-        assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+        net.w[name][at] += 1e-5
+        assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_quality_learns_words(spark):
+    """Labels that only the words tell: both kinds look alike."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words[:40] if i % 2 else words[20:], k=150)), "x") for i in range(400)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    out = quality.scored(docs, quality.learned(docs, marks)).withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in out if r.held]) > 0.95
 
 
 def test_quality_without_labels(spark):

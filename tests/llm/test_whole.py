@@ -48,6 +48,8 @@ def test_quality_trains_on_every_passage():
     text = " ".join(f"w{i}" for i in range(40 * quality.PASSAGE))
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "short"]), pa.array([1.0, 0.0])], ["key", "text", "quality"])
     (got,) = quality._training(iter([batch]))
-    x = [np.frombuffer(b.as_py(), np.float32).reshape(-1, quality.WIDTH) for b in got.column("x")]
-    ((want, bag),) = quality.encode(batch.column(1))
-    assert [len(b) for b in x] == [40, 1] and np.array_equal(x[0], want[: bag[1]])
+    read = [quality._read(*(got.column(c)[i].as_py() for c in ("x", "tokens", "filled"))) for i in range(2)]
+    (want,) = quality.encode(batch.column(1))
+    assert [len(b.x) for b in read] == [40, 1] and np.array_equal(read[0].x, want.x[: want.bag[1]])
+    assert [len(b.tokens) for b in read] == [40 * quality.PASSAGE * quality.GRAMS, quality.GRAMS]
+    assert np.array_equal(np.concatenate([b.tokens for b in read]), want.tokens)
