@@ -94,10 +94,72 @@ def test_languages(spark, made_rows):
     assert languages.trained(docs.limit(0)) is None
 
 
-def test_most_frequent(spark):
-    counts = spark.createDataFrame([(g, n) for g, n in enumerate([1] * 50 + [5] * 9 + [100, 101, 3000])], "gram long, n long")
-    assert languages.most_frequent(counts, 1000).count() == 62 and languages.most_frequent(counts, 20).count() == 12
-    assert languages.most_frequent(counts, 2).count() == 1 and languages.most_frequent(counts.limit(0), 5).count() == 0
+def brute_model(rows, order=4):
+    """Kneser-Ney by dictionaries: log P(c | context) per language."""
+    sequences = {}
+    for lang, text in rows:
+        s = ["^"] * (order - 1)
+        for i, ch in enumerate(text):
+            if ch.isalpha():
+                s.append(ch.lower())
+            elif i and text[i - 1].isalpha():
+                s.append(" ")
+        sequences.setdefault(lang, []).append(s)
+    symbols = len({c for group in sequences.values() for s in group for c in s[order - 1 :]})
+    models = {}
+    for lang, group in sequences.items():
+        counts = {order: {}}
+        for s in group:
+            for i in range(order - 1, len(s)):
+                g = tuple(s[i - order + 1 : i + 1])
+                counts[order][g] = counts[order].get(g, 0) + 1
+        for k in range(order - 1, 0, -1):
+            counts[k] = {}
+            for g in counts[k + 1]:
+                counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+        models[lang] = counts
+
+    def p(lang, g):
+        if not g:
+            return 1 / (symbols + 1)
+        c = models[lang][len(g)]
+        once, twice = max(1, sum(v == 1 for v in c.values())), sum(v == 2 for v in c.values())
+        d = once / (once + 2 * twice)
+        same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(lang, g[1:])
+        return max(c.get(g, 0) - d, 0) / sum(same.values()) + d * len(same) / sum(same.values()) * p(lang, g[1:])
+
+    def entropy(lang, text):
+        s = ["^"] * (order - 1)
+        for i, ch in enumerate(text):
+            if ch.isalpha():
+                s.append(ch.lower())
+            elif i and text[i - 1].isalpha():
+                s.append(" ")
+        return -np.mean([np.log(p(lang, tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))])
+
+    return sorted(models), entropy
+
+
+def test_languages_against_dictionaries(spark):
+    rows, _ = made(40, 8)
+    docs = spark.createDataFrame(rows, DOCS)
+    langs, entropy = brute_model([(lang, text) for i, text, lang in docs.filter(~quality.held_out(F.col("doc_id"))).collect()])
+    texts = [t for _, t, _ in rows[:6]] + ["der the le", "Ça va, ok? zzz", "a", "wxyz " * 30]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (languages.MOST, 10):
+        out = {r.doc_id: r for r in languages.identified(asked, languages.trained(docs, most)).collect()}
+        for i, text in enumerate(texts):
+            want = [entropy(lang, text) for lang in langs]
+            assert out[i].lang_pred == langs[int(np.argmin(want))] and out[i].entropy == pytest.approx(min(want), abs=1e-4)
+
+
+def test_language_bounds():
+    rng = np.random.default_rng(0)
+    values = rng.normal(2, 0.1, 2000)
+    low, none = languages.bounds(["en", "xx"], [("en", v) for v in values[:1000]] + [("xx", 1.0)] * 50)
+    assert np.isinf(none) and 0 < np.mean(values[1000:] > low) < 0.015
 
 
 def test_kneser_ney_sums_to_one():
