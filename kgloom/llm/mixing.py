@@ -13,7 +13,8 @@ source that holds a third of all rows is never ordered by one task.
 
 Defined cases: null text has size 0 and is taken 0 words; null source is a source of its own
 (last); a null doc_id orders by the md5 of nothing; equal doc_ids are separate rows whose order
-is by size; an empty table gives an empty result; further columns of the input are ignored.
+is by size, then by a hash of the row; an empty table gives an empty result; further columns of the input are ignored.  There is one row a
+source in `targets`, which one task puts in order.
 """
 
 from __future__ import annotations
@@ -60,13 +61,15 @@ def time_of(cum: Column, target: Column, start: Column) -> Column:
 
 
 def assigned(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING,
-             ramps: Sequence[tuple[float, float]] = RAMPS) -> DataFrame:
-    """doc_id, source, size, source_size, target, start, first (its source's words before it), taken.
+             ramps: Sequence[tuple[float, float]] = RAMPS, own: Sequence[Column] = ()) -> DataFrame:
+    """The columns of `own`, by which rows of equal doc_id and size are ordered, and doc_id, source, size, source_size, target, start, first (its source's words before it), taken.
 
     The mix reads a source's documents in order, again from the first when they end, until the
     target: `taken` counts the words of a document within it, the last one's in part.
     """
-    sized = written(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "mix-sizes")
+    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *own)
+    own = sized.columns[3:]
+    sized = written(sized, "mix-sizes")
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = written(targets(totals, weights, share, ceiling, ramps), "mix-targets")
@@ -77,7 +80,7 @@ def assigned(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     rows = rows.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal, size, taken = F.floor(F.col("target") + 0.5), F.col("size"), F.lit(0)
     for turn in range(int(ceiling)):
@@ -106,20 +109,25 @@ def whole_documents(docs: DataFrame, ceiling: int = CEILING, **settings) -> Data
     A reading counts if its middle lies within the target, so a source's words miss its target by
     half a document at most.  Readings are range-sorted by their training time.
     """
-    plan = assigned(docs, ceiling=ceiling, **settings)
+    # a row is known by two hashes of all that it holds
+    own = [F.xxhash64(F.lit(seed), *docs.columns).alias(f"row{seed}") for seed in (1, 2)]
+    plan = assigned(docs, ceiling=ceiling, own=own, **settings)
     middles = F.array(*[F.col("first") + F.lit(turn) * F.col("source_size") + F.col("size") / 2.0 for turn in range(ceiling)])
     times = F.transform(F.filter(middles, lambda m: m < F.col("target")), lambda m: time_of(m, F.col("target"), F.col("start")))
-    picked = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), times.alias("_times"))
-    picked = picked.filter(F.size("_times") > 0).dropDuplicates(["_id", "_source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = docs.join(picked, same).withColumn("_time", F.explode("_times"))
+    picked = plan.groupBy("row1", "row2").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.flatten(F.collect_list(times))).alias("times"))
+    picked = written(picked.filter(F.size("times") > 0), "mix-picked")
+    rows = docs.select(*own, F.struct(*docs.columns).alias("row"))
+    out, again = rows.join(picked.filter("copies = 1"), ["row1", "row2"]), picked.filter("copies > 1")
+    if not again.isEmpty():  # equal rows share their readings
+        out = out.unionByName(rows.join(again, ["row1", "row2"]).dropDuplicates(["row1", "row2"]))
+    out = out.select("row", "row1", "row2", F.explode("times").alias("time"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "_time", F.xxhash64("doc_id")).sortWithinPartitions("_time", "doc_id").select(*docs.columns)
+    return out.repartitionByRange(parts, "time", "row1").sortWithinPartitions("time", "row1", "row2").select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP5_SQL = r"""
@@ -128,7 +136,7 @@ WITH d AS (
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source
 ), w AS (
-  SELECT *, ([3.0, 1.0, 2.0])[((pos - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS top FROM s
+  SELECT *, ([3.0, 1.0, 2.0])[((pos - 1) % 3 + 1)::INT]::DOUBLE AS weight, ([1.5, 1.0, 0.5])[((pos - 1) % 3 + 1)::INT]::DOUBLE AS start, 2.0::DOUBLE * source_size AS top FROM s
 ), l AS (
   SELECT *, least(1.5::DOUBLE * sum(source_size) OVER (), sum(top) OVER ()) AS budget,
     coalesce(sum(top) OVER (ORDER BY top / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS stopped,
@@ -136,15 +144,18 @@ WITH d AS (
 ), m AS (
   SELECT *, max(CASE WHEN (budget - stopped) / rest * weight <= top THEN (budget - stopped) / rest END) OVER () AS level FROM l
 ), t AS (
-  SELECT source, source_size, least(top, coalesce(level * weight, top)) AS target FROM m
+  SELECT source, source_size, start, least(top, coalesce(level * weight, top)) AS target FROM m
 ), c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, 1.0::DOUBLE - t.start AS g,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13), d.doc_id, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN abs(g) < 1e-9 THEN y
+    ELSE (sqrt((1.0::DOUBLE - g) * (1.0::DOUBLE - g) + 4.0::DOUBLE * g * y) - (1.0::DOUBLE - g)) / (2.0::DOUBLE * g) END END AS position
+FROM (SELECT *, least(1.0::DOUBLE, least(first + size / 2.0::DOUBLE, target) / target) AS y,
   (greatest(0, least(size, floor(target + 0.5)::BIGINT - first))
    + greatest(0, least(size, floor(target + 0.5)::BIGINT - source_size - first)))::BIGINT AS taken
-FROM c
+  FROM c)
 """

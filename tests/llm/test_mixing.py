@@ -67,3 +67,14 @@ def test_nulls_empty_and_repeats(spark):
     assert mixing.mix(docs_of(spark, [])).collect() == []
     clash = docs_of(spark, rows).withColumn("size", F.lit("x")).withColumn("target", F.lit(1))
     assert mixing.mix(clash).count() == 5
+
+
+def test_repeated_rows_and_clashing_columns_in_whole_documents(spark):
+    rows = [(i % 20, "w " * (i % 7), "ab"[i % 2], i // 40) for i in range(120)] + [(500, "x y z", "a", 9)] * 6
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, times long").withColumn("row1", F.lit("clash"))
+    one, two = (sorted(tuple(r) for r in mixing.whole_documents(frame).collect()) for _ in range(2))
+    assert one == two and {r[:4] for r in one} <= set(rows)
+    target = {r.source: r.target for r in mixing.mix(frame).collect()}
+    for s, t in target.items():
+        assert abs(sum(len(r[1].split()) for r in one if r[2] == s) - t) <= 7
+    assert all(one.count(r) <= 2 * [(*x, "clash") for x in rows].count(r) for r in set(one))
