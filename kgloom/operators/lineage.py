@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, by its setting or the context's; a folder of this machine only where neither is set (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgloom-"))
+        found = spark._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

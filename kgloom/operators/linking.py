@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import indel_ratio, normalized, token_set
+from .lineage import cut
 
 THRESHOLD, MAX_BLOCK, NO_MATCH = 0.7, 2000, "No match"
 
@@ -19,6 +20,7 @@ def cleaned(index: DataFrame, max_size: int | None = MAX_BLOCK) -> DataFrame:
     """The index without tokens of more than max_size concepts; None keeps all."""
     if max_size is None:
         return index
+    index = cut(index)  # made once: it is counted and filtered
     rare = index.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_size).select("token")
     return index.join(rare, "token", "left_semi")
 

@@ -69,16 +69,23 @@ def union(*graphs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _shared(a: DataFrame, b: DataFrame) -> list[str]:
+    """The columns that both graphs have: at least s, p, o, and the kinds where both know them."""
+    return [c for c in a.columns if c in b.columns]
+
+
 def transcribe(query: DataFrame, aligned: DataFrame) -> DataFrame:
     """The query graph with the triples of aligned subjects replaced by the aligned ones; one plan, two shuffles on s."""
-    q, a = query.select(*TRIPLE), aligned.select(*TRIPLE)
-    return q.join(a.select("s"), "s", "left_anti").unionByName(a.join(q.select("s"), "s", "left_semi")).select(*TRIPLE).distinct()
+    columns = _shared(query, aligned)
+    q, a = query.select(*columns), aligned.select(*columns)
+    return q.join(a.select("s"), "s", "left_anti").unionByName(a.join(q.select("s"), "s", "left_semi")).select(*columns).distinct()
 
 
 def merge(query: DataFrame, aligned: DataFrame) -> DataFrame:
     """The query graph and the aligned triples of its subjects."""
-    q, a = query.select(*TRIPLE), aligned.select(*TRIPLE)
-    return q.unionByName(a.join(q.select("s"), "s", "left_semi").select(*TRIPLE)).distinct()
+    columns = _shared(query, aligned)
+    q, a = query.select(*columns), aligned.select(*columns)
+    return q.unionByName(a.join(q.select("s"), "s", "left_semi").select(*columns)).distinct()
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -89,24 +96,38 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return triples
 
 
-def bnode_closure(triples: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, child, node): all blank nodes reachable from each blank-node object `child` of a non-blank subject `root`.
-
-    The frontier holds only nodes new to their (root, child), so cycles end it; its lineage is cut every round.
-    """
+def bnode_closure(triples: DataFrame) -> DataFrame:
+    """(root, child, node): all blank nodes reachable from each blank-node object `child` of a non-blank subject `root`."""
     links = triples.filter("o_kind = 'bnode'").select("s", "s_kind", "o").distinct()
     inner = links.filter("s_kind = 'bnode'").select(F.col("s").alias("node"), F.col("o").alias("next"))
     frontier = links.filter("s_kind <> 'bnode'").select(F.col("s").alias("root"), F.col("o").alias("child"), F.col("o").alias("node"))
-    return closure(frontier, inner, rounds)
+    return closure(frontier, inner)
+
 
+def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(root, child, node) closed under steps (node, next).
 
-def closure(frontier: DataFrame, steps: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, child, node) closed under steps (node, next)."""
-    frontier = seen = cut(frontier.distinct())
-    for _ in range(rounds):
-        reached = frontier.join(steps, "node").select("root", "child", F.col("next").alias("node")).distinct()
-        frontier = cut(reached.join(seen, ["root", "child", "node"], "left_anti"))
-        if frontier.isEmpty():
+    Distances double: round k knows the nodes less than 2**k steps away and the pairs of nodes exactly 2**k steps apart, so a chain of n
+    nodes takes log2(n) rounds.  A round that finds no new node ends it, on cycles too; lineage is cut every round.
+    """
+    seen, jump = cut(start.distinct()), cut(steps.distinct())
+    while True:
+        reached = seen.join(jump, "node").select("root", "child", F.col("next").alias("node")).distinct()
+        new = cut(reached.join(seen, ["root", "child", "node"], "left_anti"))
+        if new.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"blank nodes reach further than {rounds} steps")
+        seen = cut(seen.unionByName(new))
+        further = jump.select(F.col("node").alias("next"), F.col("next").alias("last"))
+        jump = cut(jump.join(further, "next").select("node", F.col("last").alias("next")).distinct())
+
+
+def count_of(rows: DataFrame) -> int:
+    """A count query's answer: the first row's first present one of count, sum, b1, b2, b3, else 0."""
+    names = [c for c in ("count", "sum", "b1", "b2", "b3") if c in rows.columns]
+    row = rows.select(F.coalesce(*names, F.lit(0)).cast("long").alias("n")).first() if names else None
+    return row.n if row is not None else 0
+
+
+def counts(triples: DataFrame) -> DataFrame:
+    """One row: n_triples, the distinct triples, and n_subjects, their subjects."""
+    return triples.select(*TRIPLE).distinct().agg(F.count(F.lit(1)).alias("n_triples"), F.count_distinct("s").alias("n_subjects"))

@@ -5,6 +5,7 @@ Every query reads its whole tables.  Numbers are rounded to six digits on both s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from ..functions import iri, text
 from ..functions.scores import npmi
 from ..functions.vectors import cosine, mean_by, parsed
 from ..operators import align, encoders, facts, linkcheck, linking, lookup, triples
-from ..operators.lineage import cut
-from ..sources import lines, rdf
+from ..operators.lineage import cut, folder
+from ..sources import lines, rdf, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,10 +94,13 @@ def sample_semi_join(spark, d):
     return o.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id")).unionByName(p.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id")))
 
 
-@query()
+@query("SELECT floor(count(DISTINCT c_custkey) * 0.05)::BIGINT AS n, floor(count(DISTINCT c_custkey) * 0.05)::BIGINT AS n_known FROM customer")
 def sample_subjects(spark, d):
-    """SMP-01: its size is floor(0.05 n); which ids is fixed by Spark's hash, which SQL elsewhere lacks."""
-    return lookup.sampled(t(spark, d, "customer").select("c_custkey"), 0.05)
+    """SMP-01: how many distinct ids are sampled and how many of them the table has; which ones is fixed by Spark's hash, which SQL elsewhere lacks."""
+    c = t(spark, d, "customer").select("c_custkey")
+    keep = lookup.sampled(c, 0.05).distinct()
+    known = keep.join(c.distinct().withColumn("known", F.lit(1)), "c_custkey", "left")
+    return known.agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known"))
 
 
 _SHORT = "CASE " + " ".join(f"WHEN starts_with({{x}}, '{p}') THEN '{s}' || substr({{x}}, {len(p) + 1})" for p, s in iri.PREFIXES) + " ELSE {x} END"
@@ -123,12 +127,10 @@ def rewrite_triples(spark, d):
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS k FROM l)
-SELECT doc_id, k[1] || chr(9) || k[2] || chr(9) || array_to_string(k[3:], ' ') AS line FROM w WHERE len(k) >= 3""")
+SELECT k[1] || chr(9) || k[2] || chr(9) || array_to_string(k[3:], ' ') AS line FROM w WHERE len(k) >= 3""")
 def format_triples_tsv(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
-    k = rows.select("doc_id", text.tokens(F.col("value")).alias("k")).filter(F.size("k") >= 3)
-    rest = F.array_join(F.slice("k", F.lit(3), F.size("k")), " ")
-    return k.select("doc_id", F.concat_ws("\t", F.col("k")[0], F.col("k")[1], rest).alias("line"))
+    rows = t(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return lines.triples(rows).select(lines.joined("\t", "s", "p", "o").alias("line"))
 
 
 @query("SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY l_partkey")
@@ -187,10 +189,10 @@ def token_index(spark, d):
 
 
 @query(f"""WITH i AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_tokens(_norm('text'))}) AS token FROM documents))
-SELECT token, doc_id FROM i WHERE token IN (SELECT token FROM i GROUP BY token HAVING count(*) <= 20)""")
+SELECT token, doc_id FROM i WHERE token IN (SELECT token FROM i GROUP BY token HAVING count(*) <= 2000)""")
 def block_cleaning(spark, d):
     index = linking.token_index(t(spark, d, "documents").select(F.col("doc_id").alias("concept_id"), F.col("text").alias("label")))
-    return linking.cleaned(index, 20).select("token", F.col("concept_id").alias("doc_id"))
+    return linking.cleaned(index).select("token", F.col("concept_id").alias("doc_id"))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT {_norm('p_name')} AS name FROM part) SELECT a.name AS a, b.name AS b, round({_ratio('a.name', 'b.name')}, 6) AS ratio FROM n a, n b WHERE a.name < b.name""")
@@ -222,7 +224,7 @@ def composite_similarity(spark, d):
 _LINKED = f"""WITH x AS (SELECT p_partkey AS id, p_name AS description, {_norm('p_name')} AS text FROM part),
 l AS (SELECT min(p_partkey) AS concept_id, {_norm("p_name || ' ' || p_type")} AS name FROM part GROUP BY p_name, p_type),
 i AS (SELECT DISTINCT concept_id, unnest({_tokens('name')}) AS token FROM l),
-k AS (SELECT * FROM i WHERE token IN (SELECT token FROM i GROUP BY token HAVING count(*) <= 60)),
+k AS (SELECT * FROM i WHERE token IN (SELECT token FROM i GROUP BY token HAVING count(*) <= 2000)),
 w AS (SELECT DISTINCT text, unnest({_tokens('text')}) AS token FROM x),
 c AS (SELECT DISTINCT text, concept_id FROM w JOIN k USING (token)),
 s AS (SELECT text, concept_id, max({_ratio('text', 'name')}) AS sim FROM c JOIN l USING (concept_id) GROUP BY ALL),
@@ -233,7 +235,7 @@ m AS (SELECT id, description, CASE WHEN sim >= 0.7 THEN concept_id END AS matche
 def _linked(spark, d):
     p = t(spark, d, "part")
     concepts = p.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("concept_id")).select("concept_id", F.concat_ws(" ", "p_name", "p_type").alias("label"))
-    return linking.best_matches(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("description")), concepts, 0.7, 60)
+    return linking.best_matches(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("description")), concepts)
 
 
 @query(_LINKED + " SELECT id, description, matched, round(similarity, 6) AS similarity FROM m")
@@ -362,14 +364,14 @@ def translation_scores(spark, d):
 
 
 _GRAPHS = """q AS (SELECT 'c' || c_custkey AS s, 'nation' AS p, 'n' || c_nationkey AS o FROM customer UNION ALL SELECT 'c' || c_custkey, 'segment', c_mktsegment FROM customer),
-a AS (SELECT 'c' || c_custkey AS s, 'nation' AS p, 'r' || n_regionkey AS o FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0 UNION ALL SELECT 'x', 'nation', 'y')"""
+a AS (SELECT 'c' || c_custkey AS s, 'nation' AS p, 'r' || n_regionkey AS o FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'x', 'nation', 'y')"""
 
 
 def _graphs(spark, d):
     c, n = t(spark, d, "customer"), t(spark, d, "nation")
     s = F.concat(F.lit("c"), "c_custkey").alias("s")
     q = c.select(s, F.explode(F.array(F.struct(F.lit("nation").alias("p"), F.concat(F.lit("n"), "c_nationkey").alias("o")), F.struct(F.lit("segment").alias("p"), F.col("c_mktsegment").alias("o")))).alias("t")).select("s", "t.*")
-    a = c.filter("c_custkey % 3 = 0").join(n, c.c_nationkey == n.n_nationkey).select(s, F.lit("nation").alias("p"), F.concat(F.lit("r"), "n_regionkey").alias("o"))
+    a = c.filter("c_mktsegment <> 'BUILDING'").join(n, c.c_nationkey == n.n_nationkey).select(s, F.lit("nation").alias("p"), F.concat(F.lit("r"), "n_regionkey").alias("o"))
     return q, a.unionByName(spark.createDataFrame([("x", "nation", "y")], "s string, p string, o string"))
 
 
@@ -395,7 +397,7 @@ _KG = f"""g AS (
   UNION SELECT 'r' || r_regionkey, '{iri.RDF_TYPE}', 'Region' FROM region UNION SELECT 'o' || o_orderkey, '{iri.RDF_TYPE}', 'Order' FROM orders
   UNION SELECT 'o' || o_orderkey, 'orderedBy', 'c' || o_custkey FROM orders UNION SELECT 'c' || c_custkey, 'inNation', 'n' || c_nationkey FROM customer
   UNION SELECT 'n' || n_nationkey, 'inRegion', 'r' || n_regionkey FROM nation
-  UNION SELECT 'c' || c_custkey, 'customerRegion', 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 0
+  UNION SELECT 'c' || c_custkey, 'customerRegion', 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'
   UNION SELECT * FROM (VALUES ('orderedBy', '{iri.RDFS_DOMAIN}', 'Order'), ('orderedBy', '{iri.RDFS_RANGE}', 'Customer'), ('inNation', '{iri.RDFS_DOMAIN}', 'Customer'), ('inNation', '{iri.RDFS_RANGE}', 'Nation'),
     ('inRegion', '{iri.RDFS_DOMAIN}', 'Nation'), ('inRegion', '{iri.RDFS_RANGE}', 'Region'), ('customerRegion', '{iri.RDFS_DOMAIN}', 'Customer'), ('customerRegion', '{iri.RDFS_RANGE}', 'Region'), ('loose', '{iri.RDFS_DOMAIN}', 'Order'))),
 dr AS (SELECT s AS p, min(CASE WHEN p = '{iri.RDFS_DOMAIN}' THEN o END) AS dom, min(CASE WHEN p = '{iri.RDFS_RANGE}' THEN o END) AS rng FROM g WHERE p IN ('{iri.RDFS_DOMAIN}', '{iri.RDFS_RANGE}') GROUP BY s),
@@ -404,7 +406,7 @@ tc AS (SELECT dr.p, count(e.s)::BIGINT AS n FROM dr LEFT JOIN (SELECT g.* FROM g
 
 _EDGES = f"e AS (SELECT DISTINCT s, p, o FROM g WHERE p NOT IN ('{iri.RDF_TYPE}'))"
 # order -> region pairs over three hops and customer -> region pairs over up to three
-_FACTS = "fx AS (SELECT 'c' || c_custkey AS s, 'customerRegion' AS p, 'r' || (c_custkey % 5) AS o FROM customer UNION ALL SELECT 'o' || o_orderkey, 'orderedBy', 'c' || o_custkey FROM orders WHERE o_orderkey % 11 = 0)"
+_FACTS = "fx AS (SELECT 'c' || c_custkey AS s, 'customerRegion' AS p, 'r' || (c_custkey % 5) AS o FROM customer UNION ALL SELECT 'o' || o_orderkey, 'orderedBy', 'c' || o_custkey FROM orders)"
 _PATHS = """pa AS (SELECT DISTINCT fx.s, fx.o, [a.p] AS path FROM fx JOIN g a ON a.s = fx.s AND a.o = fx.o
   UNION SELECT DISTINCT fx.s, fx.o, [a.p, b.p] FROM fx JOIN g a ON a.s = fx.s JOIN g b ON b.s = a.o AND b.o = fx.o
   UNION SELECT DISTINCT fx.s, fx.o, [a.p, b.p, c.p] FROM fx JOIN g a ON a.s = fx.s JOIN g b ON b.s = a.o JOIN g c ON c.s = b.o AND c.o = fx.o)"""
@@ -427,7 +429,7 @@ def _kg(spark, d):
     row = lambda df, s, p, x: df.select(s.alias("s"), F.lit(p).alias("p"), x.alias("o"))
     parts = [row(df, at(k, key), iri.RDF_TYPE, F.lit(name)) for df, k, key, name in ((c, "c", "c_custkey", "Customer"), (n, "n", "n_nationkey", "Nation"), (r, "r", "r_regionkey", "Region"), (o, "o", "o_orderkey", "Order"))]
     parts += [row(o, at("o", "o_orderkey"), "orderedBy", at("c", "o_custkey")), row(c, at("c", "c_custkey"), "inNation", at("n", "c_nationkey")), row(n, at("n", "n_nationkey"), "inRegion", at("r", "n_regionkey"))]
-    parts.append(row(c.filter("c_custkey % 7 = 0").join(n, c.c_nationkey == n.n_nationkey), at("c", "c_custkey"), "customerRegion", at("r", "n_regionkey")))
+    parts.append(row(c.filter("c_mktsegment = 'BUILDING'").join(n, c.c_nationkey == n.n_nationkey), at("c", "c_custkey"), "customerRegion", at("r", "n_regionkey")))
     schema = [("orderedBy", "Order", "Customer"), ("inNation", "Customer", "Nation"), ("inRegion", "Nation", "Region"), ("customerRegion", "Customer", "Region")]
     rows = [(p, which, x) for p, a, b in schema for which, x in ((iri.RDFS_DOMAIN, a), (iri.RDFS_RANGE, b))] + [("loose", iri.RDFS_DOMAIN, "Order")]
     # a graph that several joins read is kept once; a stored graph would be a table
@@ -435,7 +437,7 @@ def _kg(spark, d):
 
 
 def _facts(spark, d):
-    c, o = t(spark, d, "customer"), t(spark, d, "orders").filter("o_orderkey % 11 = 0")
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
     a = c.select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.lit("customerRegion").alias("p"), F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("o"))
     return a.unionByName(o.select(F.concat(F.lit("o"), "o_orderkey").alias("s"), F.lit("orderedBy").alias("p"), F.concat(F.lit("c"), "o_custkey").alias("o")))
 
@@ -521,12 +523,170 @@ def code_extraction(spark, d):
                     iri.trailing_number(F.concat(F.lit("http://x/LabTest/"), "c_custkey")).alias("trailing"), iri.bare(F.concat(F.lit("<"), "c_name", F.lit(">"))).alias("bare"))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer))::BIGINT AS n_triples, (SELECT count(DISTINCT c_nationkey) FROM customer)::BIGINT AS n_concepts""")
+@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer))::BIGINT AS n_triples, (SELECT count(DISTINCT c_nationkey) FROM customer)::BIGINT AS n_subjects""")
 def counters(spark, d):
-    return t(spark, d, "customer").select("c_custkey", "c_nationkey").distinct().agg(F.count(F.lit(1)).alias("n_triples"), F.count_distinct("c_nationkey").alias("n_concepts"))
+    c = t(spark, d, "customer")
+    return triples.counts(c.select(F.col("c_nationkey").cast("string").alias("s"), F.lit("of").alias("p"), F.col("c_custkey").cast("string").alias("o")))
 
 
 @query("SELECT 's' || n_nationkey AS s, 'uri' AS s_kind, 'http://x/name' AS p, n_name || ' \"q\"' AS o, 'literal' AS o_kind FROM nation")
 def ntriples_source(spark, d):
     line = F.concat(F.lit("<s"), "n_nationkey", F.lit('> <http://x/name> "'), "n_name", F.lit(' \\"q\\"" .'))
     return rdf.ntriples(t(spark, d, "nation").select(line.alias("value"))).select("s", "s_kind", "p", "o", "o_kind")
+
+
+# ---- sources and sinks: written to the shared folder and read back -----------------------------
+
+
+def _path(spark, name: str) -> str:
+    return f"{folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+_NAMED = """SELECT 'http://x/c' || c_custkey AS s, 'http://x/name' AS p, c_name || ' "\\n" ' || chr(10) || c_mktsegment AS o FROM customer
+UNION ALL SELECT 'http://x/c' || c_custkey, 'http://x/nation', 'http://x/n' || c_nationkey FROM customer"""
+
+
+def _named(spark, d):
+    c = t(spark, d, "customer")
+    one = lambda p, o, kind: F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    name = F.concat("c_name", F.lit(' "\\n" \n'), "c_mktsegment")
+    both = F.array(one("http://x/name", name, "literal"), one("http://x/nation", F.concat(F.lit("http://x/n"), "c_nationkey"), "uri"))
+    return c.select(F.concat(F.lit("http://x/c"), "c_custkey").alias("s"), F.lit("uri").alias("s_kind"), F.explode(both).alias("x")).select("s", "s_kind", "x.*")
+
+
+@query(f"SELECT s, 'uri' AS s_kind, p, o, CASE WHEN p = 'http://x/name' THEN 'literal' ELSE 'uri' END AS o_kind FROM ({_NAMED})")
+def sink_ntriples(spark, d):
+    path = _path(spark, "graph.nt")
+    sinks.ntriples(_named(spark, d), path)
+    return rdf.read(spark, path).select("s", "s_kind", "p", "o", "o_kind")
+
+
+_ONE_LINE = "regexp_replace(o, '[\r\n]+', ' ', 'g')"
+
+
+@query(f"SELECT s || ' ' || p || ' ' || {_ONE_LINE} AS line FROM ({_NAMED})")
+def sink_spaced(spark, d):
+    path = _path(spark, "spaced")
+    sinks.spaced(_named(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"SELECT s || chr(9) || p || chr(9) || {_ONE_LINE} AS line FROM ({_NAMED})")
+def sink_tabbed(spark, d):
+    path = _path(spark, "tabbed")
+    sinks.tabbed(_named(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(_LINKED + """ SELECT id::VARCHAR AS id, description, coalesce(matched::VARCHAR, 'No match') AS matched_snomed, printf('%.2f', similarity) AS similarity_score FROM m""")
+def sink_matches(spark, d):
+    path = _path(spark, "matches")
+    sinks.matches(_linked(spark, d), path)
+    return tables.csv(spark, path, "matches")
+
+
+@query(_LINKED + """ SELECT matched::VARCHAR AS snomed_code, count(*)::VARCHAR AS cluster_size, string_agg(id::VARCHAR, ';' ORDER BY id) AS record_ids,
+  string_agg(description, ';' ORDER BY id) AS descriptions, string_agg(printf('%.2f', similarity), ';' ORDER BY id) AS similarities FROM m WHERE matched IS NOT NULL GROUP BY matched""")
+def sink_clusters(spark, d):
+    path = _path(spark, "clusters")
+    sinks.clusters(linking.clusters(_linked(spark, d)), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query("""SELECT 'icd9#' || n_nationkey AS icd_raw, 'http://snomed.info/id/' || n_regionkey AS snomed_uri, n_nationkey::VARCHAR AS icd_code, n_regionkey::VARCHAR AS concept_id,
+  n_name AS icd_text, n_name AS best_label, '1.000' AS score, 'OK' AS verdict FROM nation""")
+def sink_verdicts(spark, d):
+    n = t(spark, d, "nation")
+    links = n.select(F.concat(F.lit("icd9#"), "n_nationkey").alias("icd_raw"), F.concat(F.lit("http://snomed.info/id/"), "n_regionkey").alias("snomed_uri"))
+    codes = n.select(F.col("n_nationkey").cast("string").alias("icd9_code"), F.lit("").alias("short_title"), F.col("n_name").alias("long_title"))
+    labels = n.select(F.col("n_regionkey").cast("string").alias("concept_id"), F.col("n_name").alias("label"))
+    path = _path(spark, "verdicts")
+    sinks.verdicts(linkcheck.validated(links, codes, labels), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("SELECT '<o' || o_orderkey || '> <by> <c' || o_custkey || '>' AS line FROM orders")
+def sink_facts(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit("o"), "o_orderkey").alias("s"), F.lit("by").alias("p"), F.concat(F.lit("c"), "o_custkey").alias("o"))
+    path = _path(spark, "facts")
+    sinks.facts(o, path)
+    return lines.facts(spark.read.text(path)).select(F.concat_ws(" ", *[F.concat(F.lit("<"), c, F.lit(">")) for c in "spo"]).alias("line"))
+
+
+def _csv_of(spark, df, name):
+    path = _path(spark, name)
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query("SELECT c_custkey AS row_id, c_nationkey AS itemid, c_name AS label, NULL::VARCHAR AS fluid, c_mktsegment AS category, '0' || c_custkey AS loinc_code FROM customer")
+def csv_source(spark, d):
+    """SRC-01: a header in another case, a column that is missing, a code with a leading zero."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("ROW_ID"), F.col("c_nationkey").alias("ItemId"), F.col("c_name").alias("LABEL"), F.col("c_mktsegment").alias("Category"), F.concat(F.lit("0"), "c_custkey").alias("LOINC_CODE"))
+    return tables.csv(spark, _csv_of(spark, c, "items"), "lab_items")
+
+
+@query("SELECT trim(c_mktsegment) AS icd9_code, max_by(c_name, c_custkey) AS long_title FROM customer GROUP BY 1")
+def icd_source(spark, d):
+    """SRC-03: the last row of a code wins."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit(" "), "c_mktsegment").alias("icd9_code"), F.lit("x").alias("short_title"), F.col("c_name").alias("long_title"))
+    return tables.icd_descriptions(tables.csv(spark, _csv_of(spark, c, "titles"), "icd_titles")).select("icd9_code", "long_title")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name || ', \"' || c_mktsegment || '\"' AS description FROM customer")
+def description_source(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name", F.lit(', "'), "c_mktsegment", F.lit('" ')).alias("description"))
+    return tables.descriptions(spark, _csv_of(spark, c, "descriptions"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS concept_id, n_name AS label FROM nation UNION ALL SELECT n_nationkey::VARCHAR, 'also ' || n_name FROM nation")
+def turtle_source(spark, d):
+    """SRC-05, SRC-06: labels of concepts from a Turtle file with prefixes and lists of objects."""
+    one = F.format_string('@prefix k: <http://www.w3.org/2004/02/skos/core#> . <http://snomed.info/id/%d> k:prefLabel "%s"@en ; k:altLabel "also %s", 5 ; a k:Concept .', "n_nationkey", "n_name", "n_name")
+    path = _path(spark, "concepts.ttl")
+    t(spark, d, "nation").select(one.alias("value")).write.text(path)
+    rows = rdf.labels(rdf.read(spark, path))
+    return rows.filter("label <> '5'")
+
+
+@query("SELECT n_nationkey::VARCHAR AS subject, (n_regionkey + 0.5)::DOUBLE AS x FROM nation")
+def embedding_source(spark, d):
+    """FLT-07: vectors stored as literals; IRIs and texts that are no vector are skipped."""
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("s"), F.lit("e").alias("p"), F.concat(F.lit("[0.25 "), F.col("n_regionkey") + 0.25, F.lit("]")).alias("o"))
+    g = n.withColumn("o_kind", F.lit("literal")).unionByName(n.withColumn("o_kind", F.lit("uri"))).unionByName(n.withColumn("o", F.lit("[a b]")).withColumn("o_kind", F.lit("literal")))
+    return rdf.embeddings(g).select("subject", (F.col("embedding")[0] + F.col("embedding")[1]).alias("x"))
+
+
+@query("SELECT (SELECT count(*) FROM orders)::BIGINT AS n, 0::BIGINT AS none")
+def count_reader(spark, d):
+    """SRC-09: the answer of a count query over the stored graph, and of one without rows."""
+    o = t(spark, d, "orders")
+    n = triples.count_of(o.agg(F.lit(None).cast("long").alias("count"), F.count(F.lit(1)).alias("sum")))
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(triples.count_of(o.limit(0).select(F.lit(1).alias("b1")))).cast("long").alias("none"))
+
+
+def _invoked(spark, d, name, objects, module, columns):
+    """The subjects that an invoker embeds, with the size of their vectors."""
+    n = t(spark, d, "nation")
+    q = n.select(F.concat(F.lit("s"), "n_nationkey").alias("s"), F.lit(iri.ALIGN_NAMESPACE).alias("p"), objects.alias("o"), F.when(F.col("n_nationkey") == 3, "literal").otherwise("uri").alias("o_kind"))
+    rows = n.filter("n_regionkey <> 1").select(F.col("n_nationkey").alias(columns[0]), F.col("n_name").alias(columns[1]))
+    modules = tables.Modules(spark, {module: _csv_of(spark, rows, module)}) if module else None
+    return align.invokers.invoke(name, q, iri.ALIGN_NAMESPACE, None, modules).select("subject", (F.size("embedding") > 0).alias("embedded"))
+
+
+_INVOKED = "SELECT 's' || n_nationkey AS subject, true AS embedded FROM nation WHERE n_nationkey <> 3"
+
+
+@query(_INVOKED + " AND n_regionkey <> 1")
+def invoker_icd9(spark, d):
+    return _invoked(spark, d, "icd9tosnomed", F.concat(F.lit("http://example.org/Code/icd9#"), "n_nationkey"), "icd9", ("ICD9_CODE", "LONG_TITLE"))
+
+
+@query(_INVOKED + " AND n_regionkey <> 1")
+def invoker_lab(spark, d):
+    return _invoked(spark, d, "labresults2snomed", F.concat(F.lit("http://example.org/LabTest/1/PATIENTS/"), "n_nationkey"), "labresults", ("ITEMID", "LABEL"))
+
+
+@query(_INVOKED)
+def invoker_concepts(spark, d):
+    return _invoked(spark, d, "snomedtoicd9", F.concat(F.lit("http://snomed.info/id/"), "n_nationkey"), None, ("a", "b"))

@@ -141,3 +141,29 @@ def test_schema_mapping(spark):
     items = spark.createDataFrame([(1, 5, "old"), (2, 5, "new")], "row_id long, itemid long, loinc_code string")
     out = pipelines.schema_mapping(patients, diagnoses, labs, items, 0.1)
     assert out.count() == 4 * 5 + 4 * 10 and out.filter(F.col("s").endswith("loinc#new")).count() == 4
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    steps = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(300)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0")], "node string, next string")
+    start = spark.createDataFrame([("r", "n0", "n0"), ("r", "n290", "n290"), ("s", "c1", "c1")], "root string, child string, node string")
+    got = {tuple(r) for r in triples.closure(start, steps).collect()}
+    assert got == {("r", "n0", f"n{i}") for i in range(301)} | {("r", "n290", f"n{i}") for i in range(290, 301)} | {("s", "c1", f"c{i}") for i in range(3)}
+
+
+def test_graphs_keep_their_kinds(spark):
+    schema = "s string, p string, o string, o_kind string"
+    q = spark.createDataFrame([("a", "p", "x", "literal"), ("b", "p", "x", "uri")], schema)
+    a = spark.createDataFrame([("a", "p", "x", "uri"), ("z", "p", "x", "uri")], schema)
+    assert sorted(tuple(r) for r in triples.transcribe(q, a).collect()) == [("a", "p", "x", "uri"), ("b", "p", "x", "uri")]
+    assert sorted(tuple(r) for r in triples.merge(q, a).collect()) == [("a", "p", "x", "literal"), ("a", "p", "x", "uri"), ("b", "p", "x", "uri")]
+
+
+def test_sample_sizes(spark):
+    from kgloom.operators import lookup
+
+    for n, share in ((0, 0.5), (1, 0.5), (1000, 0.05), (1000, 0.0), (1000, 1.0), (1000, 0.777)):
+        ids = spark.range(n).select(F.col("id"))
+        got = [r.id for r in lookup.sampled(ids.union(ids), share).collect()]
+        assert len(got) == len(set(got)) == int(n * share)
+    small, large = ({r.id for r in lookup.sampled(spark.range(1000), x).collect()} for x in (0.1, 0.3))
+    assert small < large

@@ -95,3 +95,17 @@ def test_pipelines_to_files(spark, tmp_path):
     (tmp_path / "in" / "f.txt").write_text("<a> <p> <b>\n<z> <p> <b>\n")
     validate_stream(spark, str(tmp_path / "in"), g, str(tmp_path / "stream"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r.s for r in spark.read.parquet(str(tmp_path / "stream")).select(F.col("s")).collect()] == ["a"]
+
+
+def test_escapes_are_undone_once(spark):
+    rows = [r'<a> <p> "back\\n slash" .', r'<b> <p> "tab\tline\nquote\"ué \U0001F600 \\u0041" .', "# a comment", "", "broken", None]
+    lines_ = spark.createDataFrame([(x,) for x in rows], "value string")
+    out = {r.s: r.o for r in rdf.ntriples(lines_).collect()}
+    assert out == {"a": "back\\n slash", "b": 'tab\tline\nquote"ué \U0001f600 \\u0041'}
+    assert rdf.malformed(lines_) == 1
+
+
+def test_graphs_are_kept_by_path(spark, tmp_path):
+    (tmp_path / "g.nt").write_text("<a> <p> <b> .\n")
+    assert rdf.cached(spark, str(tmp_path / "g.nt")) is rdf.cached(spark, str(tmp_path / "g.nt"))
+    rdf.cached(spark, str(tmp_path / "g.nt")).unpersist()
