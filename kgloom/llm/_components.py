@@ -9,6 +9,7 @@ tables, whose hot partitions AQE splits.  Nothing is collected but one row count
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.withColumnRenamed("label", "component")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the ends of a and b with the same components, one less than a component's nodes: each to its smallest."""
+    who, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(who))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(who))
+    return who[label[moved]], who[moved]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, forest
 from ._stage import for_python, removed, table, written
 from ._vectors import matrix, unit, usable, vector_key
 
@@ -152,21 +152,6 @@ def _listed(codes: Codes):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between the ends of a and b with the same components, one less than a component's nodes: each to its smallest."""
-    who, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    label = np.arange(len(who))
-    while (label[x] != label[y]).any():
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        while (label[label] != label).any():
-            label = label[label]
-    moved = label != np.arange(len(who))
-    return who[label[moved]], who[moved]
-
-
 def _compared(codes: Codes, threshold: float):
     def bucket(own: int, ids: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray | None):
         """Pairs of rows left x right (or within left) that link and share no filter before `own`."""
@@ -209,7 +194,7 @@ def _compared(codes: Codes, threshold: float):
         who, place = np.unique(np.concatenate((ids[a], ids[b])), return_inverse=True)
         near = np.zeros(len(who), np.int64)
         np.add.at(near, place, np.concatenate((members[b], members[a])))
-        low, high = _forest(ids[a], ids[b]) if len(a) else (none, none)
+        low, high = forest(ids[a], ids[b]) if len(a) else (none, none)
         n = pa.array(np.concatenate((np.zeros(len(low), np.int64), near)), mask=np.arange(len(low) + len(who)) < len(low))
         return pa.table({"a": np.concatenate((low, who)), "b": np.concatenate((high, who)), "n": n})
 

@@ -10,10 +10,12 @@
 4. Prefix join, first turn: in each token's postings, in order of size, neighbours make a pair if it passes the length and
    positional filters (tokens of more than BLOCK classes are dealt into blocks, twice).  Verified, these
    pairs join most of what hangs together, at a cost in proportion to the postings.
-5. Second turn: pairs of postings of one token in different components, by the same filters, as an equi-join on the
-   token: classes outside the token's largest component meet all its classes, so no pair inside a component is made.
+5. Second turn: pairs of postings of one token in different components, by the same filters: classes outside the token's
+   largest component meet all its classes, frequent tokens in square blocks.  No pair inside a component is made, and
+   what is found travels as one list for each such class, so that no table has a row for a pair.
 6. Each distinct pair is verified once: the suffix filter (a bound on the symmetric difference from shingle counts
-   in hash ranges), then the intersection.  Pairs are gathered by a token that both hold, in groups of bounded bytes.
+   in hash ranges), then the intersection.  Pairs are gathered in groups of bounded bytes: in the first turn by a token that both hold,
+   in the second by the component that their token mostly belongs to.
 7. Components of the verified links give component_id.
 
 Defined cases: null or wordless texts have the empty set and link with nothing; fewer than five
@@ -30,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, forest
 from ._stage import for_python, removed, table, written
 from ._text import Words, bytes_of, mix, ngrams, pieces
 
 SHINGLE, PERCENT = 5, 80
-CELLS, PARTS, PIECE, SEGMENT = 1 << 21, 64, 1 << 22, 1_000_000
+CELLS, PARTS, PIECE, SEGMENT = 1 << 21, 64, 1 << 20, 500_000
 #: Classes of a token's block, documents of a frequent token, postings of a slice, bytes of sets in a group of pairs.
 BLOCK, FREQUENT, SLICE, GROUP = 256, 20_000, 1_000_000, 32 << 20
 RANGES = 16
@@ -239,44 +241,166 @@ def neighbour_pairs(shared: DataFrame) -> DataFrame:
     return _distinct(out)
 
 
-def apart_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """Second turn: postings of one token in different components; parts (class, part) of the classes that have links."""
+def _lists(t: pa.Table) -> pa.Table:
+    """(a, core, others) for the classes a outside the core of each token of a group: those of other components that may be linked with a through the token."""
+    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("token", "class", "size", "place", "part", "core", "asks", "given")}
+    order = np.argsort(col["token"], kind="stable")
+    col = {c: x[order] for c, x in col.items()}
+    cut = np.flatnonzero(np.concatenate(([True], col["token"][1:] != col["token"][:-1], [True])))
+    out: list[tuple[int, int, bytes]] = []
+    for p, q in zip(cut[:-1], cut[1:], strict=True):
+        own = {c: x[p:q] for c, x in col.items()}
+        asks, given = np.flatnonzero(own["asks"]), np.flatnonzero(own["given"])
+        size, left = own["size"].astype(np.int64), (own["size"] - own["place"]).astype(np.int64)
+        a, b = asks[:, None], given[None, :]
+        may = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+        may &= (100 + PERCENT) * np.minimum(left[a], left[b]) >= PERCENT * (size[a] + size[b])
+        may &= (own["part"][a] != own["part"][b]) & ((own["part"][b] == own["core"][0]) | (own["class"][a] < own["class"][b]))
+        for at in np.flatnonzero(may.any(1)):
+            out.append((int(own["class"][asks[at]]), int(own["core"][0]), own["class"][given[may[at]]].tobytes()))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "core": pa.array([x[1] for x in out], pa.int64()), "others": pa.array([x[2] for x in out], pa.binary())})
+
+
+def _once(t: pa.Table) -> pa.Table:
+    """(a, core, others) with each pair once: lists of many tokens become one for each core; a pair goes with the smallest core, and lists without a core hold pairs already seen."""
+    a, core = t.column("a").to_numpy(), t.column("core").fill_null(0).to_numpy()
+    seen = t.column("core").is_null().to_numpy(zero_copy_only=False)
+    lists = [np.frombuffer(x.as_py(), np.int64) for x in t.column("others")]
+    out: list[tuple[int, int, bytes]] = []
+    for who in np.unique(a[~seen]).tolist():
+        rows = sorted(np.flatnonzero(a == who).tolist(), key=lambda i: (not seen[i], 0 if seen[i] else core[i]))
+        b = np.concatenate([lists[i] for i in rows])
+        of = np.repeat(np.arange(len(rows)), [len(lists[i]) for i in rows])
+        b, first = np.unique(b, return_index=True)  # the first list that holds it
+        of = of[first]
+        by: dict[int, list[np.ndarray]] = {}
+        for k in np.unique(of).tolist():
+            if not seen[rows[k]]:
+                by.setdefault(int(core[rows[k]]), []).append(b[of == k])
+        out += [(who, c, np.concatenate(x).tobytes()) for c, x in by.items()]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "core": pa.array([x[1] for x in out], pa.int64()), "others": pa.array([x[2] for x in out], pa.binary())})
+
+
+LISTS = "a long, core long, others binary"
+
+
+def apart_lists(shared: DataFrame, parts: DataFrame, seen: DataFrame) -> DataFrame:
+    """Second turn: (a, core, others), each pair once and none of `seen` (a, b)."""
+    spark = shared.sparkSession
+    slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = shared.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     counted = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    core = counted.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("core"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", "core")
+    core = counted.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("core"), F.sum("k").alias("m"), F.max("k").alias("most")).filter("most < m")
+    core = core.select("token", "core", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"))
     core = written(core, "ngram-cores")
-    rows = rows.join(core, "token")
-    a, b = rows.filter("part <> core").alias("a"), rows.alias("b")
-    of = lambda x, name: F.col(f"{x}.{name}")
-    once = (of("b", "part") == of("b", "core")) | (of("a", "class") < of("b", "class"))
-    both = a.join(b, (of("a", "token") == of("b", "token")) & (of("a", "part") != of("b", "part")) & once & _may_link("a", "b", of))
-    found = both.select(of("a", "class").alias("class"), of("b", "class").alias("other"), (8 * (of("a", "size") + of("b", "size"))).cast("long").alias("bytes"), of("a", "token").alias("token"))
-    return _distinct(found)
+    rows = written(rows.join(core, "token"), "ngram-apart")
+    many = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("class"), F.col(c)).cast("int")
+    outside = F.col("part") != F.col("core")
+    column = ["token", "class", "size", "place", "part", "core"]
+    slice_of = F.pmod(F.xxhash64("token"), F.lit(slices)).alias("slice")
+    # a token of one block holds both sides at once; of a frequent one those that ask and those that are asked are dealt into blocks
+    few = rows.filter("all_blocks = 1").select(*column, slice_of, F.lit(0).alias("i"), F.lit(0).alias("j"), outside.alias("asks"), F.lit(True).alias("given"))
+    row = F.xxhash64("token").alias("slice")
+    asks = rows.filter((F.col("all_blocks") > 1) & outside).select(*column, row, own("ask_blocks").alias("i"), many("all_blocks").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("given"))
+    given = rows.filter("all_blocks > 1").select(*column, row, many("ask_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("given"))
+    found = few.unionByName(asks).unionByName(given).groupBy("slice", "i", "j").applyInArrow(lambda t: _lists(t), LISTS)
+    before = seen.select("a", "b").union(seen.select("b", "a"))
+    packed = before.groupBy("a").applyInArrow(lambda t: _packed(t), LISTS)
+    lists = found.unionByName(packed).groupBy("a").applyInArrow(lambda t: _once(t), LISTS)
+    lists = written(lists, "ngram-lists")
+    removed(spark, core, rows)
+    return lists
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(core, class): the classes of a task's lists, once for each batch and core."""
+    for batch in batches:
+        core, lists = batch.column(0).to_numpy(), batch.column(1)
+        for c in np.unique(core):
+            cls = np.unique(np.concatenate([np.frombuffer(lists[i].as_py(), np.int64) for i in np.flatnonzero(core == c).tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), c)), pa.array(cls)], ["core", "class"])
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    return pa.table({"a": t.column("a").slice(0, 1), "core": pa.nulls(1, pa.int64()), "others": pa.array([t.column("b").to_numpy().tobytes()], pa.binary())})
+
+
+def verified_lists(lists: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of the linked pairs of apart_lists(); sizes (class, size)."""
+    spark = lists.sparkSession
+    slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = written(lists.select("core", "others").mapInArrow(_held, "core long, class long").distinct().join(sizes, "class"), "ngram-held")
+    asks = lists.join(sizes.select(F.col("class").alias("a"), "size"), "a")
+    blocks = lambda df, name: df.groupBy("core").agg(F.ceil(8 * F.sum("size") / GROUP).cast("int").alias(name))
+    many = written(blocks(asks, "ask_blocks").join(blocks(held, "all_blocks"), "core"), "ngram-blocks")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda of, c: F.pmod(F.xxhash64(of), F.col(c)).cast("int")
+    small = (F.col("ask_blocks") == 1) & (F.col("all_blocks") == 1)
+    slice_of = F.when(small, F.pmod(F.xxhash64("core"), F.lit(slices))).otherwise(F.xxhash64("core"))
+    left = lists.join(many, "core").select(slice_of.alias("slice"), own("a", "ask_blocks").alias("i"), every("all_blocks").alias("j"), "core", "a", "others")
+    left = written(left, "ngram-asked").join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("own")), "a")
+    right = held.join(many, "core").select(slice_of.alias("in_slice"), every("ask_blocks").alias("in_i"), own("class", "all_blocks").alias("in_j"), "class").distinct()
+    right = written(right, "ngram-wanted").join(sets.select("class", F.col("tokens").alias("tokens")), "class")
+    checked = lambda key, asked, given: _checked_lists(asked, given)
+    out = left.groupBy("slice", "i", "j").cogroup(right.groupBy("in_slice", "in_i", "in_j")).applyInArrow(checked, "a long, b long")
+    out = written(out, "ngram-links")
+    removed(spark, many, held)
+    return out
+
+
+def _checked_lists(asked: pa.Table, given: pa.Table) -> pa.Table:
+    """A forest of the linked pairs of lists; of a list, what lies in this block."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    if asked.num_rows and given.num_rows:
+        block = _Block(given)
+        for a, others, tokens in zip(asked.column("a").to_pylist(), asked.column("others"), asked.column("own"), strict=True):
+            b = block.linked(np.frombuffer(tokens.as_py(), np.uint64), np.frombuffer(others.as_py(), np.int64))
+            found.append((np.full(len(b), a, np.int64), b))
+    a, b = forest(*(np.concatenate(f) for f in zip(*found, strict=True)))
+    return pa.table({"a": a, "b": b})
+
+
+class _Block:
+    """Sets (class, tokens) side by side, and how many of each lie in RANGES ranges of the hash."""
+
+    def __init__(self, sets: pa.Table):
+        self.cls, first = np.unique(sets.column("class").to_numpy(), return_index=True)
+        tokens = sets.column("tokens")
+        self.own = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in first.tolist()]
+        self.size = np.array([len(s) for s in self.own])
+        of = np.repeat(np.arange(len(self.own)), self.size) * RANGES + (np.concatenate(self.own) >> np.uint64(60)).astype(np.int64)
+        self.ranges = np.bincount(of, minlength=len(self.own) * RANGES).reshape(-1, RANGES)
+
+    def linked(self, s: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Those of the classes `others` in this block that are linked with the set s."""
+        at = np.minimum(np.searchsorted(self.cls, others), len(self.cls) - 1)
+        at = at[self.cls[at] == others]
+        ranges = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES)
+        need = least_overlap(self.size[at], len(s))
+        may = np.abs(self.ranges[at] - ranges).sum(1) <= self.size[at] + len(s) - 2 * need
+        at, need, out = at[may], need[may], []
+        for p in range(0, len(at), 256):
+            some = at[p : p + 256]
+            tokens = np.concatenate([self.own[i] for i in some])
+            hit = s[np.minimum(np.searchsorted(s, tokens), len(s) - 1)] == tokens
+            ends = np.cumsum(self.size[some])
+            out.append(self.cls[some[np.add.reduceat(hit, ends - self.size[some], dtype=np.int64) >= need[p : p + 256]]])
+        return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def _checked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """The pairs whose sets are linked."""
-    cls, first = np.unique(sets.column("class").to_numpy(), return_index=True)
-    tokens = sets.column("tokens")
-    own = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in first.tolist()]
-    a, b = (np.searchsorted(cls, pairs.column(c).to_numpy()) for c in ("a", "b"))
-    size = np.array([len(s) for s in own])
-    ranges = np.bincount(np.repeat(np.arange(len(own)), size) * RANGES + (np.concatenate(own) >> np.uint64(60)).astype(np.int64), minlength=len(own) * RANGES).reshape(-1, RANGES)
-    need = least_overlap(size[a], size[b])
-    may = np.abs(ranges[a] - ranges[b]).sum(1) <= size[a] + size[b] - 2 * need
-    a, b, need = a[may], b[may], need[may]
+    block = _Block(sets)
+    a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
     order = np.argsort(a, kind="stable")
-    a, b, need = a[order], b[order], need[order]
-    linked = np.zeros(len(a), bool)
-    edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
-    for p, q in zip(edge.tolist(), np.append(edge[1:], len(a)).tolist(), strict=True):
-        s = own[a[p]]
-        for p, q in [(x, min(x + 256, q)) for x in range(p, q, 256)]:
-            others = np.concatenate([own[i] for i in b[p:q]])
-            hit = s[np.minimum(np.searchsorted(s, others), len(s) - 1)] == others
-            ends = np.cumsum(size[b[p:q]])
-            linked[p:q] = np.add.reduceat(hit, ends - size[b[p:q]], dtype=np.int64) >= need[p:q]
-    return pa.table({"a": cls[a[linked]], "b": cls[b[linked]]})
+    a, b = a[order], b[order]
+    cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        linked = block.linked(block.own[int(np.searchsorted(block.cls, a[p]))], b[p:q])
+        found.append((np.full(len(linked), a[p], np.int64), linked))
+    return pa.table(dict(zip(("a", "b"), (np.concatenate(f) for f in zip(*found, strict=True)), strict=True)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -290,7 +414,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     slice_of = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("by"), F.lit(slices))).otherwise(-F.abs("by") - 1)
     placed = written(pairs.join(heavy, "by").select(slice_of.alias("slice"), own("a").alias("i"), own("b").alias("j"), "a", "b"), "ngram-placed")
     key = ["slice", "i", "j"]
-    wanted = placed.select(*key, F.col("a").alias("class")).union(placed.select(*key, "b")).distinct().join(sets, "class")
+    wanted = placed.select(*key, F.col("a").alias("class")).union(placed.select(*key, "b")).distinct()
+    wanted = written(wanted, "ngram-wanted").join(sets, "class")  # a table's size is known: a small one is sent, a large one joined by shuffling
     checked = lambda key, left, right: _checked(left, right)
     wanted = wanted.select(*[F.col(c).alias(f"for_{c}") for c in key], "class", "tokens")
     out = written(placed.groupBy(*key).cogroup(wanted.groupBy(*[f"for_{c}" for c in key])).applyInArrow(checked, "a long, b long"), "ngram-links")
@@ -314,22 +439,30 @@ def _parts(docs: DataFrame) -> DataFrame:
     members = written(posted.filter("slice = -1").mapInArrow(_unpack, "id long, version long, class long, n long"), "ngram-classes")
     removed(spark, posted)
     pairs = written(neighbour_pairs(shared), "ngram-pairs")
-    # one text of each class that some token brings together with another
+    # one text of each class
     first = members.filter("n > 0").groupBy("class").agg(F.min(F.struct("id", "version")).alias("first"))
-    first = first.join(shared.select("class").distinct(), "class", "left_semi").select("class", "first.*")
-    chosen = docs.join(first.select("id", "version"), ["id", "version"], "left_semi").select("text")
-    sets = written(chosen.mapInArrow(_sets, "class long, tokens binary"), "ngram-sets")
+    first = written(first.join(shared.select("class").distinct(), "class", "left_semi").select("class", "first.*"), "ngram-firsts")
+    sets = _sets_of(docs, first, pairs.select(F.col("a").alias("class")).union(pairs.select("b")))
     links = verified(pairs, sets)
     named = lambda df: df.select(F.col("node").alias("class"), F.col("component").alias("part"))
-    more = apart_pairs(shared, named(components(links)))
-    more = written(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+    more = apart_lists(shared, named(components(links)), pairs)
     if not more.isEmpty():
-        links = links.unionByName(verified(more, sets))
+        again = more.select(F.col("a").alias("class")).union(more.select("core", "others").mapInArrow(_held, "core long, class long").select("class"))
+        sets = sets.unionByName(_sets_of(docs, first.join(sets.select("class"), "class", "left_anti"), again))
+        links = links.unionByName(verified_lists(more, members.filter("n > 0").select("class", F.col("n").alias("size")).distinct(), sets))
     groups = written(named(components(links)), "ngram-parts")
-    removed(spark, sets, shared, pairs, more)
+    removed(spark, sets, shared, pairs, more, first)
     return members.join(groups, "class", "left").select("id", "version", "n", "class", F.when(F.col("n") > 0, F.coalesce("part", "class")).alias("part"))
 
 
+def _sets_of(docs: DataFrame, first: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, tokens) of the given classes, each from its row of first (class, id, version)."""
+    wanted = written(first.join(classes.distinct(), "class", "left_semi").select("id", "version"), "ngram-wanted")
+    sets = written(docs.join(wanted, ["id", "version"], "left_semi").select("text").mapInArrow(_sets, "class long, tokens binary"), "ngram-sets")
+    removed(docs.sparkSession, wanted)
+    return sets
+
+
 def own_columns() -> list[Column]:
     """What tells documents apart: the id and a hash of the text, since rows of one id may differ."""
     return [F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.xxhash64("text").alias("version")]

@@ -34,7 +34,7 @@ from ._text import Words, bytes_of, mix, ngrams, pieces
 
 WINDOW, ANCHOR = 20, 8
 #: Windows of one segment; bytes of text hashed at once.
-SEGMENT, PIECE = 2_000_000, 1 << 22
+SEGMENT, PIECE = 2_000_000, 1 << 20
 #: Slices of the hash space for each shuffle partition, and bytes of text for each slice where that makes more.
 SLICES, SLICE_BYTES = 4, 16 << 20
 #: Cells of the sketch: bytes of text for each, and the powers of two between which they lie; anchors counted more often than FREQUENT are split.
