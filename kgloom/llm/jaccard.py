@@ -339,9 +339,9 @@ def verified_lists(lists: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataF
     small = (F.col("ask_blocks") == 1) & (F.col("all_blocks") == 1)
     slice_of = F.when(small, F.pmod(F.xxhash64("core"), F.lit(slices))).otherwise(F.xxhash64("core"))
     left = lists.join(many, "core").select(slice_of.alias("slice"), own("a", "ask_blocks").alias("i"), every("all_blocks").alias("j"), "core", "a", "others")
-    left = written(left, "ngram-asked").join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("own")), "a")
+    left = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("own")).hint("merge"), "a")
     right = held.join(many, "core").select(slice_of.alias("in_slice"), every("ask_blocks").alias("in_i"), own("class", "all_blocks").alias("in_j"), "class").distinct()
-    right = written(right, "ngram-wanted").join(sets.select("class", F.col("tokens").alias("tokens")), "class")
+    right = right.join(sets.select("class", F.col("tokens").alias("tokens")).hint("merge"), "class")
     checked = lambda key, asked, given: _checked_lists(asked, given)
     out = left.groupBy("slice", "i", "j").cogroup(right.groupBy("in_slice", "in_i", "in_j")).applyInArrow(checked, "a long, b long")
     out = written(out, "ngram-links")
@@ -415,7 +415,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = written(pairs.join(heavy, "by").select(slice_of.alias("slice"), own("a").alias("i"), own("b").alias("j"), "a", "b"), "ngram-placed")
     key = ["slice", "i", "j"]
     wanted = placed.select(*key, F.col("a").alias("class")).union(placed.select(*key, "b")).distinct()
-    wanted = written(wanted, "ngram-wanted").join(sets, "class")  # a table's size is known: a small one is sent, a large one joined by shuffling
+    wanted = wanted.join(sets.hint("merge"), "class")
     checked = lambda key, left, right: _checked(left, right)
     wanted = wanted.select(*[F.col(c).alias(f"for_{c}") for c in key], "class", "tokens")
     out = written(placed.groupBy(*key).cogroup(wanted.groupBy(*[f"for_{c}" for c in key])).applyInArrow(checked, "a long, b long"), "ngram-links")
@@ -456,9 +456,9 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, first: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, tokens) of the given classes, each from its row of first (class, id, version)."""
+    """(class, tokens) of the given classes, each from its row of first (class, id, version).  What is wanted grows with the table: it is joined by shuffling at every size."""
     wanted = written(first.join(classes.distinct(), "class", "left_semi").select("id", "version"), "ngram-wanted")
-    sets = written(docs.join(wanted, ["id", "version"], "left_semi").select("text").mapInArrow(_sets, "class long, tokens binary"), "ngram-sets")
+    sets = written(docs.join(wanted.hint("merge"), ["id", "version"], "left_semi").select("text").mapInArrow(_sets, "class long, tokens binary"), "ngram-sets")
     removed(docs.sparkSession, wanted)
     return sets
 
