@@ -173,7 +173,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_DOCS, batches: int | None =
     drops = written(drops.groupBy("id", "version").agg(F.collect_set("at").alias("drop")), "line-drops")
     removed(docs.sparkSession, lines, found)
     names = passing(docs, "n_lines", "n_dropped")
-    rows = docs.select(*_own(docs), F.struct(*names).alias("row")).join(drops, ["id", "version"], "left")
+    rows = docs.select(*_own(docs), F.struct(*names).alias("row")).join(drops.hint("merge"), ["id", "version"], "left")  # drops grow with the table: one plan at every size
     rows = rows.select("row", "drop", split_lines(F.col("row.text")).alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")  # by a hash set, so in proportion to the lines
     text = F.when(F.col("drop").isNotNull(), F.array_join(F.transform(places, lambda i: F.col("lines")[i]), "\n")).otherwise(F.coalesce("row.text", F.lit("")))
