@@ -97,13 +97,21 @@ def checked_centroids(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     return out
 
 
-def coarse(queries: DataFrame, centers: DataFrame) -> DataFrame:
+def coarse(queries: DataFrame, centers: DataFrame, most: int = MOST_CENTROIDS) -> DataFrame:
     """queries (subject, embedding) with cluster_id, the centroid of the largest cosine (ties to the smallest id).
 
-    Every query meets every centroid by definition; the centroids are sent to all tasks if they are at most MOST_CENTROIDS.
+    Every query meets every centroid by definition.  Up to `most` centroids are sent to all tasks; more are dealt into blocks of about
+    that many, which meet the queries by an equi-join on (block, share), the queries being dealt into as many shares as there are partitions.
     """
-    few = centers.limit(MOST_CENTROIDS + 1).count() <= MOST_CENTROIDS
-    pairs = queries.select("subject", "embedding").distinct().crossJoin(F.broadcast(centers) if few else centers)
+    asked = queries.select("subject", "embedding").distinct()
+    if centers.limit(most + 1).count() <= most:
+        pairs = asked.crossJoin(F.broadcast(centers))
+    else:
+        blocks, shares = -(-centers.count() // most), int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        dealt = centers.select("*", own("cluster_id", blocks).alias("block"), every(shares).alias("share"))
+        pairs = asked.select("*", own("subject", shares).alias("share"), every(blocks).alias("block")).join(dealt, ["block", "share"])
     pairs = pairs.withColumn("c", cosine(F.col("embedding"), F.col("centroid"))).filter("c is not null")
     best = pairs.groupBy("subject", "embedding").agg(F.min(F.struct((-F.col("c")).alias("less"), "cluster_id")).alias("b"))
     return best.select("subject", "embedding", F.col("b.cluster_id").alias("cluster_id"))

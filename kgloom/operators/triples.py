@@ -88,6 +88,14 @@ def merge(query: DataFrame, aligned: DataFrame) -> DataFrame:
     return q.unionByName(a.join(q.select("s"), "s", "left_semi").select(*columns)).distinct()
 
 
+def like(query: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The aligned triples of the query's subjects, with the query's columns: kinds of subjects as the query has them, other kinds that are not given are IRIs."""
+    known = ["s_kind"] if "s_kind" in query.columns and "s_kind" not in aligned.columns else []
+    found = aligned.join(query.select("s", *known).distinct(), "s")
+    missing = lambda c: F.lit("uri") if c.endswith("_kind") else F.lit(None).cast(query.schema[c].dataType)
+    return found.select(*[F.col(c) if c in found.columns else missing(c).alias(c) for c in query.columns])
+
+
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     """Triples with the given positions; the filters reach the scan."""
     for name, value in (("s", s), ("p", p), ("o", o)):

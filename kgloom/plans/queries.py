@@ -17,6 +17,7 @@ from ..functions.vectors import cosine, mean_by, parsed
 from ..operators import align, encoders, facts, linkcheck, linking, lookup, triples
 from ..operators.lineage import cut, folder
 from ..sources import lines, rdf, sinks, tables
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -690,3 +691,37 @@ def invoker_lab(spark, d):
 @query(_INVOKED)
 def invoker_concepts(spark, d):
     return _invoked(spark, d, "snomedtoicd9", F.concat(F.lit("http://snomed.info/id/"), "n_nationkey"), None, ("a", "b"))
+
+
+@query(f"SELECT s, p, o FROM ({SQL['triple_fanout_orders']}) UNION SELECT s, p, o FROM ({SQL['triple_fanout_lineitem']})")
+def schema_mapping_files(spark, d):
+    """SNK-01, PRJ-02, PRJ-03 from CSV files to a Turtle file, with all subjects sampled."""
+    o, line, part = (t(spark, d, name) for name in ("orders", "lineitem", "part"))
+    diagnoses = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderpriority").alias("icd9_code"))
+    labs = line.select(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("subject_id"), F.col("l_partkey").alias("itemid"), F.col("l_linenumber").alias("value"))
+    items = part.select(F.col("p_partkey").alias("itemid"), F.col("p_partkey").alias("row_id"), F.when(F.col("p_size") <= 20, F.col("p_size")).alias("loinc_code"))
+    patients = diagnoses.select("subject_id").union(labs.select("subject_id")).distinct()
+    out = _path(spark, "mapped.ttl")
+    files = [_csv_of(spark, df, name) for df, name in ((patients, "patients"), (diagnoses, "diagnoses"), (labs, "labs"), (items, "items"))]
+    pipelines.schema_mapping_files(spark, *files, out, fraction=1.0)
+    return rdf.ntriples(spark.read.text(out)).select("s", "p", "o")
+
+
+@query("SELECT CASE WHEN n_nationkey = 3 THEN 'http://x/s3' ELSE 'http://x/s' || n_nationkey END AS s, "
+       f"'{iri.ALIGN_NAMESPACE}' AS p, CASE WHEN n_nationkey = 3 THEN n_name ELSE 'http://x/t' || n_nationkey END AS o, "
+       "CASE WHEN n_nationkey = 3 THEN 'literal' ELSE 'uri' END AS o_kind FROM nation")
+def alignment_files(spark, d):
+    """GR-10, GR-11 from files to a Turtle file: each concept is its own nearest, a subject with a literal stays as it is."""
+    n = t(spark, d, "nation")
+    concept, of = F.concat(F.lit("http://snomed.info/id/"), "n_nationkey"), lambda c: F.concat(F.lit(f"http://x/{c}"), "n_nationkey")
+    literal = F.col("n_nationkey") == 3
+    asked = n.select(of("s").alias("s"), F.lit(iri.ALIGN_NAMESPACE).alias("p"), F.when(literal, F.col("n_name")).otherwise(concept).alias("o"),
+                     F.when(literal, "literal").otherwise("uri").alias("o_kind"))
+    vector = F.concat(F.lit("["), F.array_join(F.transform(encoders.encoded(concept), lambda x: x.cast("string")), " "), F.lit("]"))
+    held = n.select(of("t").alias("s"), F.lit("http://x/vector").alias("p"), vector.alias("o"), F.lit("literal").alias("o_kind"))
+    query_path, vectors_path, out = (_path(spark, name) for name in ("query.nt", "vectors.nt", "aligned.ttl"))
+    sinks.ntriples(asked, query_path)
+    sinks.ntriples(held, vectors_path)
+    clusters = _csv_of(spark, n.select(F.lit("0").alias("cluster_id"), of("t").alias("subject")), "clusters")
+    pipelines.alignment(spark, query_path, vectors_path, clusters, out, "snomedtoicd9")
+    return rdf.ntriples(spark.read.text(out)).select("s", "p", "o", "o_kind")

@@ -167,3 +167,19 @@ def test_sample_sizes(spark):
         assert len(got) == len(set(got)) == int(n * share)
     small, large = ({r.id for r in lookup.sampled(spark.range(1000), x).collect()} for x in (0.1, 0.3))
     assert small < large
+
+
+def test_aligned_triples_take_the_kinds_of_the_graph(spark):
+    q = spark.createDataFrame([("a", "bnode", "p", "x", "literal", "en"), ("b", "uri", "p", "y", "literal", None)], "s string, s_kind string, p string, o string, o_kind string, o_lang string")
+    a = spark.createDataFrame([("a", "n", "t"), ("z", "n", "t")], "s string, p string, o string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    a = triples.like(q, a)
+    assert rows(triples.transcribe(q, a)) == [("a", "bnode", "n", "t", "uri", None), ("b", "uri", "p", "y", "literal", None)]
+    assert rows(triples.merge(q, a)) == rows(a) + [("a", "bnode", "p", "x", "literal", "en"), ("b", "uri", "p", "y", "literal", None)]
+
+
+def test_coarse_blocks(spark):
+    queries = spark.createDataFrame([(f"q{i}", [1.0, i / 7.0]) for i in range(20)] + [("zero", [0.0, 0.0])], "subject string, embedding array<double>")
+    centers = spark.createDataFrame([(i, [1.0, i / 3.0]) for i in range(11)], "cluster_id int, centroid array<double>")
+    rows = lambda most: sorted((r.subject, r.cluster_id) for r in align.coarse(queries, centers, most).collect())
+    assert rows(2) == rows(11) and len(rows(2)) == 20

@@ -26,7 +26,7 @@ def rows(names, found):
     return [names[i] for i in order], sorted(repr([r[i] for i in order]) for r in found)
 
 
-@pytest.mark.parametrize("name", ["iri_template", "rewrite_triples", "block_cleaning", "entity_link_best", "link_validation", "align_fine", "merge", "fact_scores", "bnode_closure", "sink_ntriples", "sink_matches", "sink_clusters", "csv_source", "turtle_source", "embedding_source", "count_reader", "invoker_icd9", "invoker_lab"])
+@pytest.mark.parametrize("name", ["iri_template", "rewrite_triples", "block_cleaning", "entity_link_best", "link_validation", "align_fine", "merge", "fact_scores", "bnode_closure", "sink_ntriples", "sink_matches", "sink_clusters", "csv_source", "turtle_source", "embedding_source", "count_reader", "invoker_icd9", "invoker_lab", "transcribe", "schema_mapping_files", "alignment_files"])
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     want = duck.sql(queries.SQL[name])
