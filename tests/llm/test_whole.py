@@ -53,3 +53,45 @@ def test_quality_trains_on_every_passage():
     assert [len(b.x) for b in read] == [40, 1] and np.array_equal(read[0].x, want.x[: want.bag[1]])
     assert [len(b.tokens) for b in read] == [40 * quality.PASSAGE * quality.GRAMS, quality.GRAMS]
     assert np.array_equal(np.concatenate([b.tokens for b in read]), want.tokens)
+
+
+def test_cap_filters_bound_what_a_task_holds(spark, monkeypatch):
+    for name, value in {"TARGET": 60, "LARGE": 50, "LARGEST": 50, "ROUND": 3000, "SENT": 1}.items():
+        monkeypatch.setattr(capfilters, name, value)
+    compared, sent, rounds = capfilters._compared, capfilters._sent, []
+
+    def bounded(*args):
+        run = compared(*args)
+
+        def checked(t):
+            assert t.num_rows <= 150  # two blocks of about 50, however many vectors pass a filter
+            return run(t)
+
+        return checked
+
+    monkeypatch.setattr(capfilters, "_compared", bounded)
+    monkeypatch.setattr(capfilters, "_sent", lambda slices, low, high: rounds.append((low, high)) or sent(slices, low, high))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 16))
+    x[200:] = x[7] + 0.25 * rng.normal(size=(300, 16))
+    x = x.astype(np.float32).astype(float)
+    out = {r.vec_id: r.n_links for r in capfilters.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = np.array([out[i] for i in range(500)])
+    assert len(rounds) > 1 and [z for _, z in rounds[:-1]] == [a for a, _ in rounds[1:]]
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+@pytest.mark.parametrize("n", [600, 20_000])
+def test_cap_filters_count_a_pair_at_one_shared_filter(n):
+    codes = capfilters.needed(64, n)
+    assert codes.height > -np.inf and codes.m == 2  # never all vectors in all filters
+    x = np.concatenate(capfilters._pairs(64, 300, 0.93, np.random.default_rng(4)))
+    at = codes.at(x, np.arange(300), np.arange(300, 600))
+    row, own, _ = codes.decode(x)
+    lists = [set(own[row == i].tolist()) for i in range(600)]
+    shared = [bool(lists[i] & lists[300 + i]) for i in range(300)]
+    assert all(at[i] in lists[i] & lists[300 + i] for i in range(300) if shared[i]) and np.mean(shared) > 0.98
+    alone = [codes.decode(v[None]) for v in x[:20]]
+    assert all(set(f.tolist()) == lists[i] for i, (_, f, _) in enumerate(alone))
