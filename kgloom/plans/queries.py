@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import iri, text
 from ..functions.scores import npmi
-from ..functions.vectors import cosine, mean_by, parsed
-from ..operators import align, encoders, facts, linkcheck, linking, lookup, triples
+from ..functions.vectors import mean_by, parsed
+from ..operators import align, encoders, facts, linkcheck, linking, lookup, pairs, triples
 from ..operators.lineage import cut, folder
 from ..sources import lines, rdf, sinks, tables
 from . import pipelines
@@ -321,9 +321,7 @@ def align_threshold(spark, d):
 
 @query(f"WITH {_V} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cosine_pairs(spark, d):
-    v = t(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    w = v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("w"))
-    return v.join(w, "label").filter("vec_id < b").select(F.col("vec_id").alias("a"), "b", _six(cosine(F.col("embedding"), F.col("w"))).alias("cosine"))
+    return pairs.within(t(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding"), "label")
 
 
 @query(f"WITH {_V} SELECT vec_id, round(list_sum(list_transform(e, lambda x: round(x, 3))), 6) AS total FROM v")

@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kgloom.functions import iri
-from kgloom.operators import align, encoders, facts, linkcheck, linking, lookup, triples
+from kgloom.operators import align, encoders, facts, linkcheck, linking, lookup, pairs, triples
 from kgloom.plans import pipelines
 
 T = "s string, s_kind string, p string, o string, o_kind string"
@@ -183,3 +184,20 @@ def test_coarse_blocks(spark):
     centers = spark.createDataFrame([(i, [1.0, i / 3.0]) for i in range(11)], "cluster_id int, centroid array<double>")
     rows = lambda most: sorted((r.subject, r.cluster_id) for r in align.coarse(queries, centers, most).collect())
     assert rows(2) == rows(11) and len(rows(2)) == 20
+
+
+def odd_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5)).round(2)
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(100 + i, i % 2, (3 * v).tolist()) for i, v in enumerate(x[:20])] + [(200 + i, i % 2, v.tolist()) for i, v in enumerate(x[:20])]
+    return rows + [(300, 0, None), (301, 0, [0.0] * 5), (302, 0, [None, 1.0, 1.0, 1.0, 1.0]), (303, 0, [1.0, 2.0]), (304, 0, [2.0, 4.0]), (305, 0, [float("nan")] * 5), (5, 1, x[3].tolist()), (306, None, [1.0] * 5), (None, 0, [1.0] * 5)]
+
+
+def test_pairs_of_blocks_equal_single_pairs(spark):
+    from kgloom.functions.vectors import cosine
+
+    v = spark.createDataFrame(odd_vectors(), "id long, label int, embedding array<double>")
+    w = v.select(F.col("id").alias("b"), "label", F.col("embedding").alias("w"))
+    want = v.join(w, "label").filter("id < b").select("id", "b", F.round(cosine(F.col("embedding"), F.col("w")), 6))
+    rows = lambda df: sorted(repr(tuple(r)).replace("-0.0)", "0.0)") for r in df.collect())
+    assert rows(pairs.within(v, "label", 7)) == rows(pairs.within(v, "label")) == rows(want)
