@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import iri
 from ..functions.vectors import cosine, mean_by
+from . import pairs
 from . import triples as graph
 from .encoders import Encoder, encoded
+from .lineage import cut
 from .lookup import first_of
 
 THRESHOLD, MOST_CENTROIDS = 0.8, 4096
@@ -105,24 +107,26 @@ def coarse(queries: DataFrame, centers: DataFrame, most: int = MOST_CENTROIDS) -
     """
     asked = queries.select("subject", "embedding").distinct()
     if centers.limit(most + 1).count() <= most:
-        pairs = asked.crossJoin(F.broadcast(centers))
+        met = asked.crossJoin(F.broadcast(centers))
     else:
         blocks, shares = -(-centers.count() // most), int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         dealt = centers.select("*", own("cluster_id", blocks).alias("block"), every(shares).alias("share"))
-        pairs = asked.select("*", own("subject", shares).alias("share"), every(blocks).alias("block")).join(dealt, ["block", "share"])
-    pairs = pairs.withColumn("c", cosine(F.col("embedding"), F.col("centroid"))).filter("c is not null")
-    best = pairs.groupBy("subject", "embedding").agg(F.min(F.struct((-F.col("c")).alias("less"), "cluster_id")).alias("b"))
+        met = asked.select("*", own("subject", shares).alias("share"), every(blocks).alias("block")).join(dealt, ["block", "share"])
+    met = met.withColumn("c", cosine(F.col("embedding"), F.col("centroid"))).filter("c is not null")
+    best = met.groupBy("subject", "embedding").agg(F.min(F.struct((-F.col("c")).alias("less"), "cluster_id")).alias("b"))
     return best.select("subject", "embedding", F.col("b.cluster_id").alias("cluster_id"))
 
 
 def fine(placed: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFrame:
-    """placed (subject, embedding, cluster_id) -> (subject, candidate, similarity), the best positive one inside the cluster (ties to the smallest candidate)."""
+    """placed (subject, embedding, cluster_id) -> (subject, candidate, similarity), the best positive one inside the cluster (at twelve digits ties to the smallest candidate)."""
+    placed = cut(placed.select("subject", "embedding", "cluster_id"))
     members = clusters.join(vectors, "subject").select("cluster_id", F.col("subject").alias("candidate"), F.col("embedding").alias("other"))
-    pairs = placed.join(members, "cluster_id").withColumn("c", cosine(F.col("embedding"), F.col("other"))).filter("c > 0")
-    best = pairs.groupBy("subject").agg(F.min(F.struct((-F.col("c")).alias("less"), "candidate")).alias("b"))
-    return best.select("subject", F.col("b.candidate").alias("candidate"), (-F.col("b.less")).alias("similarity"))
+    many = lambda df, name: df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(name))
+    sizes = cut(many(placed, "asked").join(many(members, "held"), "cluster_id"))
+    best = pairs.nearest(placed, members, sizes).groupBy("subject").agg(F.min(F.struct((-F.round("c", pairs.DIGITS)).alias("less"), "candidate", "c")).alias("b"))
+    return best.select("subject", F.col("b.candidate").alias("candidate"), F.col("b.c").alias("similarity"))
 
 
 def aligned(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, namespace: str = iri.ALIGN_NAMESPACE) -> DataFrame:

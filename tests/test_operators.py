@@ -201,3 +201,20 @@ def test_pairs_of_blocks_equal_single_pairs(spark):
     want = v.join(w, "label").filter("id < b").select("id", "b", F.round(cosine(F.col("embedding"), F.col("w")), 6))
     rows = lambda df: sorted(repr(tuple(r)).replace("-0.0)", "0.0)") for r in df.collect())
     assert rows(pairs.within(v, "label", 7)) == rows(pairs.within(v, "label")) == rows(want)
+
+
+@pytest.mark.parametrize("side", [8, 4096])
+def test_fine_compares_blocks(spark, monkeypatch, side):
+    from kgloom.functions.vectors import cosine
+
+    monkeypatch.setattr(pairs, "SIDE", side)
+    v = spark.createDataFrame([r for r in odd_vectors() if r[0] is not None], "subject long, cluster_id int, embedding array<double>")
+    asked, members = v.filter("subject % 3 = 0"), v.filter("subject % 3 <> 0 and cluster_id is not null")
+    members = members.unionByName(spark.createDataFrame([(400, 0, [float("inf")] * 5)], members.schema))
+    both = asked.join(members.select("cluster_id", F.col("subject").alias("candidate"), F.col("embedding").alias("other")), "cluster_id").withColumn("c", cosine(F.col("embedding"), F.col("other"))).filter("c > 0")
+    best = both.groupBy("subject").agg(F.min(F.struct((-F.round("c", 12)).alias("less"), "candidate", "c")).alias("b")).select("subject", "b.candidate", F.round("b.c", 9))
+    got = align.fine(asked, members.select("cluster_id", "subject"), members.select("subject", "embedding"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "aggregate(zip_with" not in plan  # no cosine by the pair
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert rows(got.select("subject", "candidate", F.round("similarity", 9))) == rows(best)
