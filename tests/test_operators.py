@@ -218,3 +218,14 @@ def test_fine_compares_blocks(spark, monkeypatch, side):
     assert "FlatMapCoGroupsInArrow" in plan and "aggregate(zip_with" not in plan  # no cosine by the pair
     rows = lambda df: sorted(repr(tuple(r)) for r in df.collect())
     assert rows(got.select("subject", "candidate", F.round("similarity", 9))) == rows(best)
+
+
+def test_aligned_subjects_take_the_first_of_equal_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12, 6))
+    vectors = [(f"t{k}{i:02d}", v.tolist()) for k, by in enumerate((1, 3, 1)) for i, v in enumerate(by * x)]
+    asked = [(f"q{i:02d}", v.tolist()) for i, v in enumerate(7 * x)]
+    q, v = (spark.createDataFrame(rows, "subject string, embedding array<double>") for rows in (asked, vectors))
+    found = align.aligned(q, v.select(F.lit(1).alias("cluster_id"), "subject"), v)
+    assert "aggregate(zip_with(transform(embedding" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == [(f"q{i:02d}", iri.ALIGN_NAMESPACE, f"t0{i:02d}") for i in range(12)]
