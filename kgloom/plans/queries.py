@@ -614,7 +614,7 @@ def sink_facts(spark, d):
 
 def _csv_of(spark, df, name):
     path = _path(spark, name)
-    df.write.option("header", True).option("escape", '"').csv(path)
+    df.write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
     return path
 
 
@@ -701,7 +701,7 @@ def schema_mapping_files(spark, d):
     patients = diagnoses.select("subject_id").union(labs.select("subject_id")).distinct()
     out = _path(spark, "mapped.ttl")
     files = [_csv_of(spark, df, name) for df, name in ((patients, "patients"), (diagnoses, "diagnoses"), (labs, "labs"), (items, "items"))]
-    pipelines.schema_mapping_files(spark, *files, out, fraction=1.0)
+    pipelines.schema_mapping_files(spark, *files, out, fraction=1.0, compression="gzip")
     return rdf.ntriples(spark.read.text(out)).select("s", "p", "o")
 
 

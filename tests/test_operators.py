@@ -229,3 +229,15 @@ def test_aligned_subjects_take_the_first_of_equal_vectors(spark):
     found = align.aligned(q, v.select(F.lit(1).alias("cluster_id"), "subject"), v)
     assert "aggregate(zip_with(transform(embedding" not in found._jdf.queryExecution().executedPlan().toString()
     assert got(found) == [(f"q{i:02d}", iri.ALIGN_NAMESPACE, f"t0{i:02d}") for i in range(12)]
+
+
+def test_mapped_triples_are_the_distinct_ones(spark):
+    rng = np.random.default_rng(2)
+    pick = lambda *of: [None if rng.random() < 0.1 else of[rng.integers(len(of))] for _ in range(200)]
+    d = spark.createDataFrame(list(zip(pick(1, 2, 3), pick(7, 8), pick(" 4", "4", "nan", ""), strict=True)), "row_id long, subject_id long, icd9_code string")
+    labs = spark.createDataFrame(list(zip(pick(1, 2, 3), pick(7, 8, 9), pick(5, 6), pick("NA", "1 %", "", "a/b"), pick("c", " c", "nan", ""), strict=True)), "row_id long, subject_id long, itemid long, value string, loinc_code string")
+    want = triples.diagnosis_triples(d).unionByName(triples.lab_triples(labs)).distinct()
+    out = triples.mapped(d, labs)
+    assert got(out) == got(want)
+    sent = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert sent and not any("o#" in line for line in sent)  # keys are shuffled, no triples
