@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
+    total = np.minimum(sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts")), 2**31 - 1).astype(np.int32)
     return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -101,10 +101,10 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     """Documents per cell of the shingle hashes: CELLS numbers whatever the table's size."""
     parts = docs.select("text").mapInArrow(_count, "part int, counts binary")
     rows = parts.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()
-    out = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    out = np.zeros((PARTS, CELLS // PARTS), np.int32)
     for row in rows:
-        out[row.part] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(out.reshape(-1), 2**31 - 1)
+        out[row.part] = np.frombuffer(row.counts, np.int32)
+    return out.reshape(-1)
 
 
 POSTINGS = "slice int, tokens binary, classes binary, sizes binary, places binary, ids binary, versions binary"
@@ -433,6 +433,7 @@ def _parts(docs: DataFrame) -> DataFrame:
     frequent = max(FREQUENT, 16 * int(counts.mean()))
     shared_counts = spark.sparkContext.broadcast(counts)
     posted = written(docs.select("id", "version", "text").mapInArrow(_postings(shared_counts, slices, frequent), POSTINGS), "ngram-postings")
+    shared_counts.destroy()
     shared = posted.filter("slice >= 0").groupBy("slice").applyInArrow(lambda t: _shared(t), SHARED)
     often = posted.filter("slice = -2").mapInArrow(_frequent, SHARED).dropDuplicates(["token", "class"])
     shared = written(shared.unionByName(often), "ngram-shared")

@@ -5,9 +5,9 @@ encoded by what its words are - the mean of learned embedding rows of its hashed
 and by how it looks - shares of kinds of bytes and word statistics x.  A hidden layer h = tanh(V x + mean of the rows) and gated attention weights
 a = softmax(w . (tanh(A h) * sigmoid(B h))) make one weighted representation of the bag, which a
 logistic output scores.  All weights are learned together, by Adam on the document labels only;
-no passage has a label.  The model is fitted on the driver from at most `most` labelled documents
-(those with the smallest hashes of doc_id, so the sample is the same in every run); training and scoring read every passage
-of a text.
+no passage has a label.  The model is fitted in one task from at most `most` labelled documents
+(those with the smallest hashes of doc_id, so the sample is the same in every run), and only its weights reach the driver;
+training and scoring read every passage of a text.
 
 Defined cases: a null text is an empty one; an empty text is a bag of one empty passage and gets
 the score that makes; where no labelled document exists every score is 0.5; labels that conflict
@@ -16,6 +16,7 @@ for one doc_id count as separate examples; other columns pass through, but for o
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,17 +219,27 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Attention |
     """The network from at most `most` labelled documents; null without two kinds of labels."""
     schema = "key long, label double, x binary, tokens binary, filled binary"
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(docs, labels, most)), "doc_id")
-    rows = chosen.select(F.xxhash64("doc_id").alias("key"), "text", "quality").mapInArrow(_training, schema).collect()
-    found = sorted(rows, key=lambda r: (r.key, r.label, bytes(r.tokens), bytes(r.x)))
-    labels = np.array([r.label for r in found])
-    if not len(labels) or labels.min() == labels.max():
+    rows = chosen.select(F.xxhash64("doc_id").alias("key"), "text", "quality").mapInArrow(_training, schema)
+    found = rows.repartition(1).mapInArrow(_fit, "weights binary").collect()
+    if not found:
         return None
-    return Attention(WIDTH).fit([_read(r.x, r.tokens, r.filled) for r in found], labels)
+    model = Attention(WIDTH)
+    model.w = pickle.loads(found[0].weights)
+    return model
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights fitted to all rows of _training(); no row without two kinds of labels."""
+    found = sorted((tuple(row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0], r[1], r[3], r[2]))
+    labels = np.array([r[1] for r in found])
+    if len(labels) and labels.min() < labels.max():
+        model = Attention(WIDTH).fit([_read(*r[2:]) for r in found], labels)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.w)], pa.binary())], ["weights"])
 
 
 def _read(x: bytes, tokens: bytes, filled: bytes) -> Bags:
     x = np.frombuffer(x, np.float32).reshape(-1, WIDTH)
-    return Bags(x, np.frombuffer(tokens, np.uint16).astype(np.int64), np.frombuffer(filled, np.uint16).astype(np.int64), np.array([0, len(x)]))
+    return Bags(x, np.frombuffer(tokens, np.uint16), np.frombuffer(filled, np.uint16).astype(np.int64), np.array([0, len(x)]))
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
