@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import iri
-from ..functions.vectors import cosine, mean_by
+from ..functions.vectors import dot, mean_by
 from . import pairs
 from . import triples as graph
 from .encoders import Encoder, encoded
-from .lineage import cut
+from .lineage import cut, kept
 from .lookup import first_of
 
 THRESHOLD, MOST_CENTROIDS = 0.8, 4096
@@ -100,12 +100,14 @@ def checked_centroids(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def coarse(queries: DataFrame, centers: DataFrame, most: int = MOST_CENTROIDS) -> DataFrame:
-    """queries (subject, embedding) with cluster_id, the centroid of the largest cosine (ties to the smallest id).
+    """queries (subject, embedding) with cluster_id, the centroid of the largest cosine (at twelve digits ties to the smallest id); norms are taken once per vector.
 
     Every query meets every centroid by definition.  Up to `most` centroids are sent to all tasks; more are dealt into blocks of about
     that many, which meet the queries by an equi-join on (block, share), the queries being dealt into as many shares as there are partitions.
     """
-    asked = queries.select("subject", "embedding").distinct()
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = queries.select("subject", "embedding").distinct().withColumn("long", norm("embedding"))
+    centers = centers.select("cluster_id", "centroid", norm("centroid").alias("far"))
     if centers.limit(most + 1).count() <= most:
         met = asked.crossJoin(F.broadcast(centers))
     else:
@@ -114,15 +116,21 @@ def coarse(queries: DataFrame, centers: DataFrame, most: int = MOST_CENTROIDS) -
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         dealt = centers.select("*", own("cluster_id", blocks).alias("block"), every(shares).alias("share"))
         met = asked.select("*", own("subject", shares).alias("share"), every(blocks).alias("block")).join(dealt, ["block", "share"])
-    met = met.withColumn("c", cosine(F.col("embedding"), F.col("centroid"))).filter("c is not null")
-    best = met.groupBy("subject", "embedding").agg(F.min(F.struct((-F.col("c")).alias("less"), "cluster_id")).alias("b"))
+    both = F.col("long") * F.col("far")
+    met = met.withColumn("c", F.when(both > 0, dot(F.col("embedding"), F.col("centroid")) / both)).filter("c is not null")
+    best = met.groupBy("subject", "embedding").agg(F.min(F.struct((-F.round("c", pairs.DIGITS)).alias("less"), "cluster_id")).alias("b"))
     return best.select("subject", "embedding", F.col("b.cluster_id").alias("cluster_id"))
 
 
 def fine(placed: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     """placed (subject, embedding, cluster_id) -> (subject, candidate, similarity), the best positive one inside the cluster (at twelve digits ties to the smallest candidate)."""
+    return _fine(placed, clusters.join(vectors, "subject"))
+
+
+def _fine(placed: DataFrame, members: DataFrame) -> DataFrame:
+    """fine() from the members' vectors (cluster_id, subject, embedding)."""
     placed = cut(placed.select("subject", "embedding", "cluster_id"))
-    members = clusters.join(vectors, "subject").select("cluster_id", F.col("subject").alias("candidate"), F.col("embedding").alias("other"))
+    members = members.select("cluster_id", F.col("subject").alias("candidate"), F.col("embedding").alias("other"))
     many = lambda df, name: df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(name))
     sizes = cut(many(placed, "asked").join(many(members, "held"), "cluster_id"))
     best = pairs.nearest(placed, members, sizes).groupBy("subject").agg(F.min(F.struct((-F.round("c", pairs.DIGITS)).alias("less"), "candidate", "c")).alias("b"))
@@ -132,7 +140,8 @@ def fine(placed: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFram
 def aligned(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, namespace: str = iri.ALIGN_NAMESPACE) -> DataFrame:
     """Triples (s, p, o) from each query subject to its candidate, where the similarity reaches the threshold."""
     first = queries.groupBy("subject").agg(F.min("embedding").alias("embedding"))
-    found = fine(coarse(first, centroids(clusters, vectors)), clusters, vectors).filter(F.col("similarity") >= threshold)
+    members = kept(clusters.join(vectors, "subject"), "align-members")  # read for centroids, sizes and the search
+    found = _fine(coarse(first, mean_by(members, ["cluster_id"], "embedding", "centroid")), members).filter(F.col("similarity") >= threshold)
     return found.select(F.col("subject").alias("s"), F.lit(namespace).alias("p"), F.col("candidate").alias("o"))
 
 

@@ -231,6 +231,32 @@ def test_aligned_subjects_take_the_first_of_equal_vectors(spark):
     assert got(found) == [(f"q{i:02d}", iri.ALIGN_NAMESPACE, f"t0{i:02d}") for i in range(12)]
 
 
+def test_search_in_single_precision_loses_no_best(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=(5000, 16))
+    y[3000:4000] = y[:1000] * (1 + 1e-9 * rng.normal(size=(1000, 16)))  # told apart by double precision only
+    x = np.concatenate([y[:300] + 1e-9 * rng.normal(size=(300, 16)), rng.normal(size=(300, 16))])
+    x = np.concatenate([x, x, x])
+    asked, near = [], pairs._near
+    monkeypatch.setattr(pairs, "_near", lambda a, b: asked.append(len(a)) or near(a, b))
+    q = pa.table({"subject": pa.array(np.arange(1800)), "embedding": pa.array(x.tolist())})
+    m = pa.table({"candidate": pa.array(np.arange(5000)), "other": pa.array(y.tolist())})
+    found = pairs._nearest(q, m)
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    c = np.round(unit(x) @ unit(y).T, 12)
+    assert found["subject"].to_pylist() == list(range(1800)) and sum(asked) == 600  # equal queries are compared once
+    assert found["candidate"].to_pylist() == c.argmax(1).tolist() and np.allclose(found["c"].to_numpy(), c.max(1), atol=1e-11)
+
+
+def test_coarse_ties_at_twelve_digits(spark):
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "subject string, embedding array<double>")
+    centers = spark.createDataFrame([(1, [1.0, 1e-7]), (2, [3.0, 0.0]), (3, [0.0, 0.0])], "cluster_id int, centroid array<double>")
+    out = align.coarse(queries, centers)
+    assert [tuple(r)[0::2] for r in out.collect()] == [("q", 1)]
+
+
 def test_mapped_triples_are_the_distinct_ones(spark):
     rng = np.random.default_rng(2)
     pick = lambda *of: [None if rng.random() < 0.1 else of[rng.integers(len(of))] for _ in range(200)]
